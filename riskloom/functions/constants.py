@@ -68,6 +68,7 @@ MIN_DF, MAX_DF = 2, 0.95
 MAX_FEATURES = 500_000
 LOGISTIC_C = 4.0
 LOGISTIC_MAX_ITER = 1000
+LOGISTIC_TOLERANCE = 1e-4
 
 # CSV tokens that mean "missing" (the documented pandas defaults).
 NA_TOKENS = [

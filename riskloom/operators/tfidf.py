@@ -11,6 +11,9 @@ from .joins import lookup_join
 from .sampling import RANK_ROWS, cutoff_keys
 
 CHUNK = 1 << 16
+# Text per task of the gram count: about 12 million gram occurrences.
+CHARS_PER_TASK = 4_000_000
+MAX_TASKS = 100_000
 
 
 def analyzed(text: Column) -> Column:
@@ -29,15 +32,25 @@ def gram_array(text: Column, n_min: int = NGRAM_MIN, n_max: int = NGRAM_MAX) ->
     ])
 
 
+def measure(df: DataFrame, text_col: str):
+    """Rows of the table, and the number of tasks that its grams are worth."""
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars")).first()
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return row["n"], min(max(least, -(-row["chars"] // CHARS_PER_TASK)), max(least, MAX_TASKS))
+
+
 def char_terms(df: DataFrame, id_col: str, text_col: str, n_min: int = NGRAM_MIN, n_max: int = NGRAM_MAX,
-               chunk: int = CHUNK) -> DataFrame:
+               chunk: int = CHUNK, tasks: int = None) -> DataFrame:
     """(id, gram, tf) for the whole texts; `id_col` is unique.
 
     Texts, not grams, are shuffled: after the partitioning by id, counting per (id, gram)
-    needs no exchange. A long text is cut into chunks that overlap by n_max - 1 characters,
+    needs no exchange. Grams are some 150 times as large as their text, so the number of
+    tasks follows the measured text; left to itself, adaptive execution would size them by
+    the small shuffle before the grams exist. A long text is cut into chunks that overlap by n_max - 1 characters,
     so no array grows with the text; every gram start belongs to exactly one chunk.
     """
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
+    tasks = tasks or measure(df, text_col)[1]
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(tasks, "id")
     texts = texts.select("id", analyzed(F.col("text")).alias("text"))
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(chunk))
     parts = texts.select("id", "text", F.explode_outer(starts).alias("start"))
@@ -95,7 +108,7 @@ class TfidfModel:
     def shape(self, df: DataFrame) -> DataFrame:
         """(n_rows, n_features) of the matrix that `transform` describes."""
         rows = df.agg(F.count("*").alias("n_rows"))
-        return rows.withColumn("n_features", F.lit(self.vocabulary.count()))
+        return rows.withColumn("n_features", F.lit(self.vocabulary.count()).cast("bigint"))
 
 
 def fit_tfidf(df: DataFrame, id_col: str, text_col: str, max_features=MAX_FEATURES, min_df: int = MIN_DF,
@@ -106,8 +119,8 @@ def fit_tfidf(df: DataFrame, id_col: str, text_col: str, max_features=MAX_FEATUR
     The fitted vocabulary is written to the shared folder: it is the only thing that
     later steps need, and they must all see the same one.
     """
-    n_rows = df.count()
-    frequent = document_frequencies(char_terms(df, id_col, text_col, n_min, n_max)).filter(
+    n_rows, tasks = measure(df, text_col)
+    frequent = document_frequencies(char_terms(df, id_col, text_col, n_min, n_max, tasks=tasks)).filter(
         (F.col("df") >= min_df) & (F.col("df") <= max_df * n_rows)
     )
     idf = F.log(F.lit(1.0 + n_rows) / (1 + F.col("df"))) + 1

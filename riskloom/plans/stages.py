@@ -10,14 +10,14 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..functions.constants import NGRAM_MAX, NGRAM_MIN
+from ..functions.constants import DOMAIN_FEATURES, LEXICAL_FEATURES, NGRAM_MAX, NGRAM_MIN
 from ..functions.lexical import with_lexical_features
 from ..functions.urls import normalize_url
 from ..operators.domains import with_domain_features
 from ..operators.scaling import Standardizer
 from ..operators.tfidf import analyzed, gram_array
 
-LEX, DOM, BIAS = "lex__", "dom__", "bias__"
+LEX, DOM = "lex__", "dom__"
 
 
 class _Stage(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -34,6 +34,7 @@ class UrlNormalizer(_Stage, HasInputCol, HasOutputCol):
     @keyword_only
     def __init__(self, *, inputCol="url", outputCol="url"):
         super().__init__()
+        self._setDefault(inputCol="url", outputCol="url")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -48,6 +49,7 @@ class LexicalFeatures(_Stage, HasInputCol):
     @keyword_only
     def __init__(self, *, inputCol="url", columns=None):
         super().__init__()
+        self._setDefault(inputCol="url", columns=list(LEXICAL_FEATURES))
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -67,6 +69,7 @@ class DomainFeatures(_Stage, HasInputCol):
     @keyword_only
     def __init__(self, *, inputCol="url", columns=None, rulesPath=None):
         super().__init__()
+        self._setDefault(inputCol="url", columns=list(DOMAIN_FEATURES))
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -83,7 +86,7 @@ class CharGrams(_Stage, HasInputCol, HasOutputCol):
     @keyword_only
     def __init__(self, *, inputCol="url", outputCol="grams", nMin=NGRAM_MIN, nMax=NGRAM_MAX):
         super().__init__()
-        self._setDefault(nMin=NGRAM_MIN, nMax=NGRAM_MAX)
+        self._setDefault(inputCol="url", outputCol="grams", nMin=NGRAM_MIN, nMax=NGRAM_MAX)
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -92,55 +95,77 @@ class CharGrams(_Stage, HasInputCol, HasOutputCol):
         return df.withColumn(self.getOutputCol(), grams)
 
 
+def sparse_vector(size, indices, values):
+    """A vector column from native columns.
+
+    Spark has no expression for this, only Python functions. Reading the parts back as
+    JSON with the vector type in the schema does it inside the JVM.
+    """
+    parts = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), size.alias("size"), indices.alias("indices"), values.alias("values")
+    )
+    schema = StructType([StructField("v", VectorUDT())])
+    return F.from_json(F.to_json(F.struct(parts.alias("v"))), schema)["v"]
+
+
 class SublinearCounts(_Stage, HasInputCol, HasOutputCol):
-    """Counts c of a sparse vector become 1 + ln(c).
+    """Counts c of a sparse vector become 1 + ln(c); the count column is dropped.
 
-    The vector is opened as its struct, changed with array functions, and read back
-    into the vector type through JSON, so no Python worker is involved.
+    Count vectors name every vocabulary entry in their column metadata. The new column
+    has none, which keeps later plans small.
     """
 
     @keyword_only
     def __init__(self, *, inputCol="counts", outputCol="tf"):
         super().__init__()
+        self._setDefault(inputCol="counts", outputCol="tf")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         parts = F.unwrap_udt(self.getInputCol())
-        vector = F.struct(
-            parts["type"].alias("type"), parts["size"].alias("size"), parts["indices"].alias("indices"),
-            F.transform(parts["values"], lambda c: 1 + F.log(c)).alias("values"),
-        )
-        schema = StructType([StructField("v", VectorUDT())])
-        return df.withColumn(self.getOutputCol(), F.from_json(F.to_json(F.struct(vector.alias("v"))), schema)["v"])
+        values = F.transform(parts["values"], lambda c: 1 + F.log(c))
+        vector = sparse_vector(parts["size"], parts["indices"], values)
+        return df.withColumn(self.getOutputCol(), vector).drop(self.getInputCol())
 
 
-class Standardize(_Stage):
-    """Standardised columns with fitted means and population deviations, in place."""
+class AppendColumns(_Stage, HasInputCol, HasOutputCol):
+    """A sparse vector with number columns, and a constant 1 for a penalised intercept, after it.
+
+    Used in place of the stock assembler, which would write a name for each of some
+    hundred thousand grams into the column metadata of every later plan.
+    """
 
     columns = _param("columns", TypeConverters.toListString)
-    means = _param("means", TypeConverters.toListFloat)
-    deviations = _param("deviations", TypeConverters.toListFloat)
 
     @keyword_only
-    def __init__(self, *, columns=None, means=None, deviations=None):
+    def __init__(self, *, inputCol="tfidf__", outputCol="features__", columns=None):
         super().__init__()
+        self._setDefault(inputCol="tfidf__", outputCol="features__", columns=[])
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        values = [self.getOrDefault(p) for p in (self.columns, self.means, self.deviations)]
-        return Standardizer(*values).transform(df)
+        parts = F.unwrap_udt(self.getInputCol())
+        added = [F.col(c).cast("double") for c in self.getOrDefault(self.columns)] + [F.lit(1.0)]
+        size = parts["size"] + F.lit(len(added))
+        indices = F.concat(parts["indices"], F.sequence(parts["size"], size - 1))
+        return df.withColumn(self.getOutputCol(), sparse_vector(size, indices, F.concat(parts["values"], F.array(*added))))
 
 
-class ConstantColumn(_Stage, HasOutputCol):
-    """The constant 1, for a penalised intercept."""
+class Standardize(_Stage):
+    """Standardised columns with fitted means and population deviations, in place."""
+
+    columns = _param("columns", TypeConverters.toListString)
+    means = _param("means", TypeConverters.toListFloat)
+    deviations = _param("deviations", TypeConverters.toListFloat)
 
     @keyword_only
-    def __init__(self, *, outputCol=BIAS):
+    def __init__(self, *, columns=None, means=None, deviations=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.getOutputCol(), F.lit(1.0))
+        values = [self.getOrDefault(p) for p in (self.columns, self.means, self.deviations)]
+        return Standardizer(*values).transform(df)
 
 
 class ScoreLabels(_Stage):

@@ -2,30 +2,34 @@
 
 import time
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer, StringIndexer, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.constants import (
-    FOREST_TREES, LEXICAL_FEATURES, LOGISTIC_C, LOGISTIC_MAX_ITER, MAX_FEATURES, NGRAM_MAX, NGRAM_MIN, RANDOM_SEED,
+    FOREST_TREES, LEXICAL_FEATURES, LOGISTIC_C, LOGISTIC_MAX_ITER, LOGISTIC_TOLERANCE, MAX_FEATURES, NGRAM_MAX,
+    NGRAM_MIN, RANDOM_SEED,
 )
 from ..functions.groups import combine, domain_group, lexical_group
 from ..operators.metrics import best_experiment, classification_report, confusion_matrix, pair_counts, summary_metrics
 from ..operators.sampling import stratified_split
 from ..operators.scaling import class_weights, fit_standardizer, with_class_weights
-from ..operators.tfidf import TfidfModel, fit_tfidf
+from ..operators.tfidf import TfidfModel, fit_tfidf, measure
 from ..sources.sinks import load_model, save_model, write_table
 from ..sources.staging import new_path, stage_table
 from .stages import (
-    BIAS, DOM, LEX, CharGrams, ConstantColumn, DomainFeatures, LexicalFeatures, ScoreLabels, Standardize,
-    SublinearCounts, UrlNormalizer,
+    DOM, LEX, AppendColumns, CharGrams, DomainFeatures, LexicalFeatures, ScoreLabels, Standardize, SublinearCounts,
+    UrlNormalizer,
 )
 
 # The classifier needs the vocabulary as vector positions, so it must fit on one machine.
 MAX_VECTOR_FEATURES = 5_000_000
+ROWS_PER_TASK = 1000
 
 
 @dataclass
@@ -100,15 +104,15 @@ def _result(model, test, label, elapsed, importance=None) -> FitResult:
                      predictions, elapsed, importance)
 
 
-def fit_lexical(df: DataFrame, label: str = "type", url: str = "url", trees: int = FOREST_TREES, max_depth: int = 30,
-                columns=None, seed: int = RANDOM_SEED, max_bins: int = 256) -> FitResult:
+def fit_lexical(df: DataFrame, label: str = "type", url: str = "url", key: str = None, trees: int = FOREST_TREES,
+                max_depth: int = 30, columns=None, seed: int = RANDOM_SEED, max_bins: int = 256) -> FitResult:
     """Random forest on the lexical features of clean (url, type) rows.
 
     Balanced class weights, at least one row per leaf, sqrt(features) per split. Spark
     limits depth to 30 and splits on `max_bins` candidate thresholds per feature.
     """
     columns = list(columns or LEXICAL_FEATURES)
-    df = _with_split(df, label, url)
+    df = stage_table(_with_split(df, label, key or url), "split")
     names = [LEX + c for c in columns]
     features = [UrlNormalizer(inputCol=url, outputCol=url), LexicalFeatures(inputCol=url, columns=columns),
                 VectorAssembler(inputCols=names, outputCol="features__")]
@@ -145,13 +149,16 @@ def text_stages(tfidf: TfidfModel, text: str = "url") -> list:
         raise ValueError(f"{size} grams are too many for one classifier; set max_features")
     if size == 0:
         raise ValueError("no gram is left after the document-frequency limits")
-    rows = tfidf.vocabulary.select("gram", "idf").orderBy("gram").collect()
-    counts = CountVectorizerModel.from_vocabulary([r["gram"] for r in rows], inputCol="grams__", outputCol="counts__")
+    # Fitted on the chosen grams themselves, one per row: this only numbers them, inside the JVM.
+    grams = tfidf.vocabulary.select(F.array("gram").alias("grams__"))
+    counts = CountVectorizer(vocabSize=size, inputCol="grams__", outputCol="counts__").fit(grams)
+    idf = {r["gram"]: r["idf"] for r in tfidf.vocabulary.select("gram", "idf").collect()}
+    scaling = Vectors.dense([idf[g] for g in counts.vocabulary])
     return [
         CharGrams(inputCol=text, outputCol="grams__", nMin=tfidf.n_min, nMax=tfidf.n_max),
         counts,
         SublinearCounts(inputCol="counts__", outputCol="tf__"),
-        ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="tf__", outputCol="scaled__"),
+        ElementwiseProduct(scalingVec=scaling, inputCol="tf__", outputCol="scaled__"),
         Normalizer(p=2.0, inputCol="scaled__", outputCol="tfidf__"),
     ]
 
@@ -160,36 +167,39 @@ TEXT_WORK = ["grams__", "counts__", "tf__", "scaled__", "tfidf__"]
 
 
 def fit_logistic(train: DataFrame, label: str, features: str, c: float = LOGISTIC_C,
-                 max_iter: int = LOGISTIC_MAX_ITER) -> list:
+                 max_iter: int = LOGISTIC_MAX_ITER, tolerance: float = LOGISTIC_TOLERANCE, parallelism: int = 4) -> list:
     """Balanced L2 logistic regression: fitted models, one per class (one for two classes).
 
     Minimises c * sum(weight * loss) + |v|^2 / 2. With more than two classes each model
-    separates one class (carrying its balanced weight) from the rest (weight 1).
+    separates one class (carrying its balanced weight) from the rest (weight 1); up to
+    `parallelism` of them are fitted at the same time.
     """
     labels = _labels(train, label)
     if len(labels) < 2:
         raise ValueError("a classifier needs at least 2 classes")
     stats = {r[label]: (r["n"], r["weight"]) for r in class_weights(train, label).collect()}
     total = sum(n for n, _ in stats.values())
-    positives = labels[1:] if len(labels) == 2 else labels
-    models = []
-    for i, name in enumerate(positives):
+    # Each iteration is a job; small tables are not worth many tasks. Large ones stay as they are.
+    tasks = max(1, -(-total // ROWS_PER_TASK))
+
+    def fit(position, name):
         n, weight = stats[name]
-        if len(labels) == 2:
-            other_n, other_weight = stats[labels[0]]
-        else:
-            other_n, other_weight = total - n, 1.0
+        other_n, other_weight = stats[labels[0]] if len(labels) == 2 else (total - n, 1.0)
         is_it = F.col(label) == name
         rows = train.select(
             features, is_it.cast("double").alias("y"), F.when(is_it, weight).otherwise(other_weight).alias("w")
-        )
+        ).coalesce(tasks)
         weight_sum = n * weight + other_n * other_weight
-        models.append(LogisticRegression(
+        return LogisticRegression(
             featuresCol=features, labelCol="y", weightCol="w", standardization=False, fitIntercept=False,
-            regParam=1.0 / (c * weight_sum), maxIter=max_iter, family="binomial",
-            rawPredictionCol=f"raw__{i}", probabilityCol=f"p__{i}", predictionCol=f"hit__{i}",
-        ).fit(rows))
-    return models
+            regParam=1.0 / (c * weight_sum), maxIter=max_iter, tol=tolerance, family="binomial",
+            rawPredictionCol=f"raw__{position}", probabilityCol=f"p__{position}", predictionCol=f"hit__{position}",
+        ).fit(rows)
+
+    positives = labels[1:] if len(labels) == 2 else labels
+    run = inheritable_thread_target(train.sparkSession)(fit)
+    with ThreadPool(parallelism) as pool:
+        return pool.starmap(run, list(enumerate(positives)))
 
 
 def _classifier_stages(assemble, labels, models, work) -> list:
@@ -226,7 +236,8 @@ def run_ablation(df: DataFrame, experiments, label: str = "type", url: str = "ur
     lex = [LexicalFeatures(inputCol=url, columns=lexical)] if lexical else []
     dom = [DomainFeatures(inputCol=url, columns=domain, rulesPath=rules_path)] if domain else []
 
-    prepared = split
+    # Vectors are far larger than texts: spread the rows by the measured text, not by file size.
+    prepared = split.repartition(measure(split, url)[1], key)
     for stage in [*base, *text, *lex, *dom]:
         prepared = stage.transform(prepared)
     prepared = stage_table(prepared.drop(*TEXT_WORK[:-1]), "features")
@@ -236,11 +247,11 @@ def run_ablation(df: DataFrame, experiments, label: str = "type", url: str = "ur
     results = {}
     for experiment in experiments:
         columns = experiment.columns
-        assemble = [ConstantColumn()]
+        assemble = []
         if columns:
             fitted = fit_standardizer(train, columns)
             assemble.append(Standardize(columns=columns, means=fitted.means, deviations=fitted.deviations))
-        assemble.append(VectorAssembler(inputCols=["tfidf__", *columns, BIAS], outputCol="features__"))
+        assemble.append(AppendColumns(inputCol="tfidf__", outputCol="features__", columns=columns))
         vectors = train
         for stage in assemble:
             vectors = stage.transform(vectors)
@@ -254,7 +265,7 @@ def run_ablation(df: DataFrame, experiments, label: str = "type", url: str = "ur
             features.append(LexicalFeatures(inputCol=url, columns=own_lex))
         if own_dom:
             features.append(DomainFeatures(inputCol=url, columns=own_dom, rulesPath=rules_path))
-        tail = _classifier_stages(assemble, labels, models, TEXT_WORK + columns + [BIAS, "features__"])
+        tail = _classifier_stages(assemble, labels, models, TEXT_WORK + columns + ["features__"])
         model = PipelineModel([*base, *text, *features, *tail])
         # The prepared vectors are those that the full pipeline computes; test on them.
         scored = PipelineModel(tail).transform(prepared.filter("split = 'test'"))
