@@ -22,16 +22,26 @@ def collapse_whitespace(col: Column) -> Column:
 
 
 def count_char(col: Column, char: str) -> Column:
-    return bigint(F.length(col) - F.length(F.replace(col, F.lit(char), F.lit(""))))
+    """Occurrences of an ASCII character; in bytes, which need no walk over the text."""
+    return bigint(F.octet_length(col) - F.octet_length(F.replace(col, F.lit(char), F.lit(""))))
 
 
 def count_digits(col: Column) -> Column:
-    return bigint(F.regexp_count(col, F.lit(DIGIT_CLASS)))
+    return bigint(F.length(col) - F.length(F.regexp_replace(col, DIGIT_CLASS + "+", "")))
 
 
 def count_special(col: Column) -> Column:
-    """Characters outside a-z, A-Z, 0-9; one per code point."""
-    return bigint(F.regexp_count(col, F.lit("[^a-zA-Z0-9]")))
+    """Characters outside a-z, A-Z, 0-9; one per code point.
+
+    What is left after removing the others: `regexp_count` would build an array of matches.
+    """
+    return bigint(F.length(F.regexp_replace(col, "[a-zA-Z0-9]+", "")))
+
+
+def count_labels(col: Column) -> Column:
+    """Non-empty labels between dots."""
+    marked = F.regexp_replace(col, "[^.]+", "x")
+    return bigint(F.length(F.replace(marked, F.lit("."), F.lit(""))))
 
 
 def count_words_present(col: Column, words) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.constants import (
     DOMAIN_FEATURES, DIGIT_CLASS, HIGH_ENTROPY_THRESHOLD, LONG_SUBDOMAIN_THRESHOLD, OTHER_DOTS,
 )
-from ..functions.text import bigint, count_char, count_digits, count_special, shannon_entropy, strip
+from ..functions.text import bigint, count_char, count_digits, count_labels, count_special, shannon_entropy, strip
 from ..functions.urls import normalize_url, with_url_parts
 from ..sources.staging import checkpoint
 from .joins import lookup_bytes, lookup_join
@@ -128,7 +128,7 @@ def with_domain_features(df: DataFrame, rules: DataFrame, url_col: str = "url",
     df = df.withColumns({
         "__entropy": shannon_entropy(domain),
         "__digits": count_digits(domain),
-        "__subs": bigint(F.regexp_count("__d_subdomain", F.lit("[^.]+"))),
+        "__subs": count_labels(F.col("__d_subdomain")),
         "__size": bigint(F.length(domain)),
     })
     size = F.col("__size")
@@ -138,7 +138,7 @@ def with_domain_features(df: DataFrame, rules: DataFrame, url_col: str = "url",
         "tld_length": bigint(F.length(suffix)),
         "subdomain_length": bigint(F.length("__d_subdomain")),
         "num_subdomains": F.col("__subs"),
-        "num_domain_labels": bigint(F.regexp_count(host, F.lit("[^.]+"))),
+        "num_domain_labels": count_labels(host),
         "domain_num_digits": F.col("__digits"),
         "domain_num_hyphens": count_char(domain, "-"),
         "domain_num_special_chars": count_special(domain),

@@ -39,6 +39,13 @@ def measure(df: DataFrame, text_col: str):
     return row["n"], min(max(least, -(-row["chars"] // CHARS_PER_TASK)), max(least, MAX_TASKS))
 
 
+def pieces(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(id, part): each text of (id, text) in pieces of `chunk` + `overlap` characters."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(chunk))
+    parts = texts.select("id", "text", F.explode_outer(starts).alias("start"))
+    return parts.select("id", F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("part"))
+
+
 def char_terms(df: DataFrame, id_col: str, text_col: str, n_min: int = NGRAM_MIN, n_max: int = NGRAM_MAX,
                chunk: int = CHUNK, tasks: int = None) -> DataFrame:
     """(id, gram, tf) for the whole texts; `id_col` is unique.
@@ -52,9 +59,7 @@ def char_terms(df: DataFrame, id_col: str, text_col: str, n_min: int = NGRAM_MIN
     tasks = tasks or measure(df, text_col)[1]
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(tasks, "id")
     texts = texts.select("id", analyzed(F.col("text")).alias("text"))
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(chunk))
-    parts = texts.select("id", "text", F.explode_outer(starts).alias("start"))
-    parts = parts.select("id", F.substring("text", F.col("start") + 1, F.lit(chunk + n_max - 1)).alias("part"))
+    parts = pieces(texts, chunk, n_max - 1)
     windows = F.regexp_extract_all("part", F.lit(f"(?s)(?=(.{{{n_min},{n_max}}}))."), F.lit(1))
     parts = parts.select("id", F.explode_outer(F.slice(windows, 1, chunk)).alias("window"))
     sizes = F.array(*[
@@ -64,6 +69,25 @@ def char_terms(df: DataFrame, id_col: str, text_col: str, n_min: int = NGRAM_MIN
     return grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
 
 
+def text_entropy(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK, tasks: int = None) -> DataFrame:
+    """(id, entropy) in bits of the characters of whole, possibly long texts; 0 for an empty one.
+
+    Counts characters by aggregation, in the partitioning of the texts. For short strings
+    such as domain names there is the column function `shannon_entropy`.
+    """
+    tasks = tasks or measure(df, text_col)[1]
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(tasks, "id")
+    chars = pieces(texts, chunk, 0).select("id", F.explode_outer(F.split("part", "")).alias("char"))
+    counts = chars.groupBy("id", "char").agg(F.count("*").cast("double").alias("n"))
+    # Of n characters: log2(n) - sum(c * log2(c)) / n over the counts c.
+    real = F.coalesce(F.col("char"), F.lit("")) != ""
+    sums = counts.groupBy("id").agg(
+        F.sum(F.when(real, F.col("n"))).alias("n"), F.sum(F.when(real, F.col("n") * F.log2("n"))).alias("s")
+    )
+    bits = F.greatest(F.log2("n") - F.col("s") / F.col("n"), F.lit(0.0))
+    return sums.select("id", F.coalesce(bits, F.lit(0.0)).alias("entropy"))
+
+
 def document_frequencies(terms: DataFrame) -> DataFrame:
     """(gram, df, total); counted before the shuffle, so frequent grams are no hot spot."""
     return terms.groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))

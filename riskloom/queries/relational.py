@@ -136,8 +136,8 @@ def combined_features(spark, sf):
 
 
 def text_entropy(spark, sf):
-    docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.round(shannon_entropy(F.col("text")), 4).alias("entropy"))
+    rows = tfidf.text_entropy(table(spark, sf, "documents"), "doc_id", "text")
+    return rows.select(F.col("id").alias("doc_id"), F.round("entropy", 4).alias("entropy"))
 
 
 def char_ngrams(spark, sf):
