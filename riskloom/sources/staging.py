@@ -2,24 +2,22 @@
 
 Lineage is cut only with tables or checkpoints on the shared folder that the cluster
 names in `spark.checkpoint.dir`, so the loss of an executor costs a re-read at most.
+Where that is unset (tests), a folder beside the warehouse tables serves; a cluster must set one of the two.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only for a local master without setting."""
+    """The session's checkpoint folder, else `_staged` in the warehouse, which executors share as well."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="riskloom-")
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
         sc.setCheckpointDir(folder)
         folder = sc.getCheckpointDir()
     return folder
