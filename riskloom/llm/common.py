@@ -82,7 +82,8 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 def table_bytes(df: DataFrame) -> int:
     """Size of a staged table in memory, estimated from an aggregate over all its rows."""
-    width = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) if kind in ("string", "binary") else F.lit(8))
+    width = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) if kind in ("string", "binary")
+                 else F.coalesce(F.octet_length(F.to_json(F.col(c))), F.lit(0)) if kind.startswith("array") else F.lit(8))
                 + F.lit(16) for c, kind in df.dtypes)
     return df.agg(F.sum(width)).collect()[0][0] or 0
 
@@ -99,7 +100,3 @@ def salt_of(*cols, salts: int = SALTS) -> Column:
 def salted(df: DataFrame, salts: int = SALTS) -> DataFrame:
     """Each row once per salt: the other side of a join on (key, salt)."""
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-
-def span_text(spans) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)

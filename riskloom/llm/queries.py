@@ -1,13 +1,16 @@
 """Registered queries of this package and their DuckDB twins."""
 
-from . import bpe, chat_format, exact_dedup, mixing, secret_scan
+from . import bpe, chat_format, exact_dedup, language_id, mixing, permutation_index, pii, secret_scan
 
 QUERIES = {
     "op1_byte_bpe": bpe.bpe_round_trip,
     "op2_mixture": mixing.mixture,
     "op3_secret_scan": secret_scan.secret_scan,
     "op5_exact_dedup": exact_dedup.exact_dedup,
+    "op6_personal_data": pii.personal_data,
     "op7_chat_format": chat_format.chat_format,
+    "op9_language_id": language_id.language_id,
+    "op10_permutation_index": permutation_index.permutation_search,
 }
 ORACLES = {
     "op2_mixture": mixing.MIXTURE_SQL,
