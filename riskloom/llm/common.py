@@ -7,6 +7,7 @@ import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from ..sources.staging import new_path, shared_dir, stage_table  # noqa: F401  (re-exported)
 
@@ -100,3 +101,24 @@ def salt_of(*cols, salts: int = SALTS) -> Column:
 def salted(df: DataFrame, salts: int = SALTS) -> DataFrame:
     """Each row once per salt: the other side of a join on (key, salt)."""
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def keep_rows(df: DataFrame, found: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """The rows of df that stay, with all their columns, from decisions (doc_id, mark, kept) for every row.
+
+    `mark` recomputes a row's mark from the struct `row`. Only the keys of rows that go are joined back (broadcast when measured
+    small). A key that both stays and goes (repeated rows) is settled by numbering its few rows.
+    """
+    keys = stage_table(found.groupBy("doc_id", "mark").agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
+                       .filter(~F.col("every")), "dropped")
+    keys = keys.select(F.col("doc_id").alias("key_id"), F.col("mark").alias("key_mark"), "some")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    rows = rows.select("row", F.col(f"row.`{id_col}`").alias("own_id"), mark.alias("own_mark"))
+    same = F.col("own_id").eqNullSafe(F.col("key_id")) & F.col("own_mark").eqNullSafe(F.col("key_mark"))
+    out = sized_join(rows, keys.drop("some"), same, "left_anti").select("row")
+    mixed = keys.filter("some").drop("some")
+    if not mixed.isEmpty():
+        one = F.row_number().over(Window.partitionBy("key_id", "key_mark").orderBy(F.lit(1)))
+        again = sized_join(rows, stage_table(mixed, "mixed"), same, "inner")
+        out = out.unionByName(again.withColumn("number", one).filter("number = 1").select("row"))
+    return out.select("row.*")

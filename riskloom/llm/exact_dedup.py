@@ -11,7 +11,7 @@ ids are below all others); among rows that also share that id, one stays.
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import SALTS, documents, salt_of, salted, sized_join, stage_table
+from .common import SALTS, documents, keep_rows, salt_of, salted, stage_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,23 +65,9 @@ def rows_by_content(df: DataFrame, digests: DataFrame, id_col="doc_id", text_col
 
 
 def keep_one(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """The rows of df that stay, with all their columns.
-
-    Only the keys of dropped rows are joined back (broadcast when measured small). A key that both stays and goes (repeated
-    rows) is settled by numbering its few rows.
-    """
-    found = stage_table(exact_duplicates(df, id_col, text_col).filter("group_size > 1"), "copies")
-    keys = stage_table(found.groupBy("doc_id", "text_sha256").agg(
-        F.max("kept").alias("some"), F.min("kept").alias("all")).filter(~F.col("all")), "dropped")
-    same = F.col(f"row.{id_col}").eqNullSafe(F.col("doc_id")) & (digest_of(F.col(f"row.{text_col}")) == F.col("text_sha256"))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    out = sized_join(rows, keys.select("doc_id", "text_sha256"), same, "left_anti")
-    mixed = keys.filter("some")
-    if not mixed.isEmpty():
-        one = Window.partitionBy("doc_id", "text_sha256").orderBy(F.lit(1))
-        again = sized_join(rows, mixed.select("doc_id", "text_sha256"), same, "inner")
-        out = out.unionByName(again.withColumn("n", F.row_number().over(one)).filter("n = 1").select("row"))
-    return out.select("row.*")
+    """The rows of df that stay, with all their columns."""
+    found = exact_duplicates(df, id_col, text_col).filter("group_size > 1").select("doc_id", F.col("text_sha256").alias("mark"), "kept")
+    return keep_rows(df, found, id_col, digest_of(F.col(f"row.`{text_col}`")))
 
 
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries of this package and their DuckDB twins."""
 
-from . import bpe, chat_format, exact_dedup, language_id, mixing, permutation_index, pii, secret_scan
+from . import bpe, chat_format, exact_dedup, language_id, mixing, permutation_index, pii, secret_scan, signature_join
 
 QUERIES = {
     "op1_byte_bpe": bpe.bpe_round_trip,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.exact_dedup,
     "op6_personal_data": pii.personal_data,
     "op7_chat_format": chat_format.chat_format,
+    "op8_jaccard_join": signature_join.jaccard_join,
     "op9_language_id": language_id.language_id,
     "op10_permutation_index": permutation_index.permutation_search,
 }
