@@ -13,9 +13,24 @@ from .joins import lookup_bytes, lookup_join
 SPLIT_COLUMNS = ["subdomain", "domain", "suffix", "registered_domain"]
 
 
-def parse_rules(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    """Rule table (suffix, kind) from lines in the public-suffix-list notation."""
+PRIVATE_BEGIN, PRIVATE_END = "===BEGIN PRIVATE DOMAINS===", "===END PRIVATE DOMAINS==="
+
+
+def parse_rules(lines: DataFrame, line_col: str = "value", include_private: bool = False) -> DataFrame:
+    """Rule table (suffix, kind) from lines in the public-suffix-list notation, in the order of the file.
+
+    The section of private registries, which comment lines mark, is left out unless asked for.
+    """
     rule = F.lower(F.split(strip(F.col(line_col)), r"\s")[0])
+    if not include_private:
+        lines = lines.select(line_col).withColumn("line", F.monotonically_increasing_id())
+        marks = lines.filter(strip(F.col(line_col)).startswith("//")).agg(
+            F.min(F.when(F.contains(line_col, F.lit(PRIVATE_BEGIN)), F.col("line"))),
+            F.max(F.when(F.contains(line_col, F.lit(PRIVATE_END)), F.col("line"))),
+        ).first()
+        if marks[0] is not None:
+            last = marks[1] if marks[1] is not None else (1 << 63) - 1
+            lines = lines.filter((F.col("line") < marks[0]) | (F.col("line") > last))
     lines = lines.select(rule.alias("rule")).filter((F.col("rule") != "") & ~F.col("rule").startswith("//"))
     kind = (
         F.when(F.col("rule").startswith("!"), "exception")

@@ -30,6 +30,8 @@ def lookup_join(left: DataFrame, table: DataFrame, key: str, how: str = "inner",
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
+    if left.isStreaming:
+        return left.join(table, key, how)  # a count of the stream's keys can't be had; the planner sizes the table
     if (lookup_bytes(table, key) if size is None else size) <= max_bytes:
         return left.join(F.broadcast(table), key, how)
 

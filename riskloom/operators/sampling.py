@@ -83,7 +83,10 @@ def _class_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def uniform_sample(df: DataFrame, n, key: str = "url", seed: int = RANDOM_SEED, rank_rows: int = RANK_ROWS) -> DataFrame:
-    """Exactly n rows; all rows if n is None or not below the row count. `key` is unique."""
+    """Exactly n rows; all rows if n is None or not below the row count.
+
+    `key` is unique: copies of it around the cutoff would be taken or left together, so they raise ValueError.
+    """
     if n is None:
         return df
     total = df.count()
@@ -93,12 +96,19 @@ def uniform_sample(df: DataFrame, n, key: str = "url", seed: int = RANDOM_SEED,
         return df.filter(F.lit(False))
     quota = df.sparkSession.createDataFrame([("", total, n)], "stratum string, n bigint, quota bigint")
     cutoff = cutoff_keys(_keyed(df, F.lit(""), key, seed), quota, rank_rows).first()["cutoff"]
-    return df.filter(hash_key(F.col(key), seed) <= F.lit(cutoff))
+    chosen = df.filter(hash_key(F.col(key), seed) <= F.lit(cutoff))
+    if chosen.select(key).count() != n:
+        raise ValueError(f"{key} is not unique")
+    return chosen
 
 
 def _mark(df, label, key, quotas, seed, rank_rows, selected):
     cutoffs = cutoff_keys(_keyed(df, F.col(label), key, seed), quotas, rank_rows)
     cutoffs = cutoffs.withColumnRenamed("stratum", label)
+    reached = lookup_join(_keyed(df, F.col(label), key, seed).withColumnRenamed("stratum", label), cutoffs, label, "inner")
+    reached = reached.filter(F.col("key") <= F.col("cutoff")).groupBy(F.col(label).alias("stratum")).agg(F.count("*").alias("taken"))
+    if not reached.join(quotas, "stratum").filter("taken != quota").isEmpty():  # a row per class
+        raise ValueError(f"{key} is not unique")
     joined = lookup_join(df, cutoffs, label, "left")
     inside = F.coalesce(hash_key(F.col(key), seed) <= F.col("cutoff"), F.lit(False))
     return joined.withColumn(selected, inside).select(*df.columns, selected)

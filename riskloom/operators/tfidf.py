@@ -4,7 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.constants import MAX_DF, MAX_FEATURES, MIN_DF, NGRAM_MAX, NGRAM_MIN
+from ..functions.constants import MAX_DF, MIN_DF, NGRAM_MAX, NGRAM_MIN
 from ..functions.text import collapse_whitespace
 from ..sources.staging import stage_table
 from .joins import lookup_join
@@ -13,7 +13,6 @@ from .sampling import RANK_ROWS, cutoff_keys
 CHUNK = 1 << 16
 # Text per task of the gram count: about 12 million gram occurrences.
 CHARS_PER_TASK = 4_000_000
-MAX_TASKS = 100_000
 
 
 def analyzed(text: Column) -> Column:
@@ -36,7 +35,7 @@ def measure(df: DataFrame, text_col: str):
     """Rows of the table, and the number of tasks that its grams are worth."""
     row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars")).first()
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return row["n"], min(max(least, -(-row["chars"] // CHARS_PER_TASK)), max(least, MAX_TASKS))
+    return row["n"], max(least, -(-row["chars"] // CHARS_PER_TASK))
 
 
 def pieces(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -135,10 +134,10 @@ class TfidfModel:
         return rows.withColumn("n_features", F.lit(self.vocabulary.count()).cast("bigint"))
 
 
-def fit_tfidf(df: DataFrame, id_col: str, text_col: str, max_features=MAX_FEATURES, min_df: int = MIN_DF,
+def fit_tfidf(df: DataFrame, id_col: str, text_col: str, max_features=None, min_df: int = MIN_DF,
               max_df: float = MAX_DF, n_min: int = NGRAM_MIN, n_max: int = NGRAM_MAX,
               rank_rows: int = RANK_ROWS) -> TfidfModel:
-    """Fit vocabulary and smoothed idf. `max_features=None` keeps every gram.
+    """Fit vocabulary and smoothed idf. Every gram is kept unless `max_features` says otherwise.
 
     The fitted vocabulary is written to the shared folder: it is the only thing that
     later steps need, and they must all see the same one.

@@ -7,7 +7,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,8 +27,6 @@ from .stages import (
     UrlNormalizer,
 )
 
-# The classifier needs the vocabulary as vector positions, so it must fit on one machine.
-MAX_VECTOR_FEATURES = 5_000_000
 ROWS_PER_TASK = 1000
 
 
@@ -143,17 +141,16 @@ def feature_importance(spark, forest, columns, top: int = 20) -> DataFrame:
 
 
 def text_stages(tfidf: TfidfModel, text: str = "url") -> list:
-    """The fitted vocabulary as vector stages, ending in the column `tfidf__`."""
-    size = tfidf.vocabulary.count()
-    if size > MAX_VECTOR_FEATURES:
-        raise ValueError(f"{size} grams are too many for one classifier; set max_features")
-    if size == 0:
+    """The fitted vocabulary as vector stages, ending in the column `tfidf__`.
+
+    A classifier's weights are vectors over the vocabulary, so that much must fit on one machine; positions are by falling total,
+    then by gram. `TfidfModel.transform` is the table form, for vocabularies of any size.
+    """
+    grams = tfidf.vocabulary.select("gram", "idf", "total").toPandas().sort_values(["total", "gram"], ascending=[False, True])
+    if grams.empty:
         raise ValueError("no gram is left after the document-frequency limits")
-    # Fitted on the chosen grams themselves, one per row: this only numbers them, inside the JVM.
-    grams = tfidf.vocabulary.select(F.array("gram").alias("grams__"))
-    counts = CountVectorizer(vocabSize=size, inputCol="grams__", outputCol="counts__").fit(grams)
-    idf = {r["gram"]: r["idf"] for r in tfidf.vocabulary.select("gram", "idf").collect()}
-    scaling = Vectors.dense([idf[g] for g in counts.vocabulary])
+    counts = CountVectorizerModel.from_vocabulary(grams["gram"].tolist(), inputCol="grams__", outputCol="counts__")
+    scaling = Vectors.dense(grams["idf"].to_numpy())
     return [
         CharGrams(inputCol=text, outputCol="grams__", nMin=tfidf.n_min, nMax=tfidf.n_max),
         counts,
@@ -224,7 +221,8 @@ def run_ablation(df: DataFrame, experiments, label: str = "type", url: str = "ur
     if domain and rules_path is None:
         if rules is None:
             raise ValueError("domain features need suffix rules")
-        rules_path = write_table(rules, new_path(df.sparkSession, "rules"), "parquet")
+        # beside the saved variants, which read them: a model must not depend on the scratch folder
+        rules_path = write_table(rules, f"{save_to}/rules" if save_to else new_path(df.sparkSession, "rules"), "parquet")
     df = _with_split(df, label, key)
     base = [UrlNormalizer(inputCol=url, outputCol=url)] if normalize else []
     split = stage_table(df.select(*dict.fromkeys([key, url, label, "split"])), "split")
@@ -278,8 +276,8 @@ def run_ablation(df: DataFrame, experiments, label: str = "type", url: str = "ur
     return results
 
 
-def fit_text(df: DataFrame, label: str = "type", text: str = "url", max_features=None, **options) -> FitResult:
-    """TF-IDF and logistic regression alone; the vocabulary is not capped by default."""
+def fit_text(df: DataFrame, label: str = "type", text: str = "url", *, max_features, **options) -> FitResult:
+    """TF-IDF and logistic regression alone. The caller chooses `max_features`; None keeps every gram."""
     return run_ablation(df, [Experiment("tfidf")], label, text, max_features=max_features, **options)["tfidf"]
 
 

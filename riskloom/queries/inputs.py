@@ -8,6 +8,9 @@ DEEP_RULES = RULES + [
     ("example.com", "normal"), ("example.net", "wildcard"), ("example.org", "wildcard"),
     ("tionble.example.org", "exception"), ("tiontion.example.net", "exception"),
 ]
+SPECIAL_RULES = RULES + [("123", "normal")]
+#: A domain of 36 different characters.
+LONG_DOMAIN = "abcdefghijklmnopqrstuvwxyz0123456789.com"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +59,21 @@ def decorated_urls(spark, sf_dir) -> DataFrame:
     return rows.select((F.col("page_id") * 4 + F.col("v")).alias("row_id"), "url")
 
 
+def special_urls(spark, sf_dir) -> DataFrame:
+    """(row_id, url): each page under a host with four more labels, with a punycode label, with a numeric suffix, and of a
+    long domain."""
+    rest = F.regexp_replace("url", "^https?://", "")
+    host, tail = F.substring_index(rest, "/", 1), F.regexp_replace(rest, "^[^/]*", "")
+    rows = F.array(
+        F.concat(F.lit("http://a.b.c.d."), host, tail),
+        F.concat(F.lit("http://xn--bcher-kva."), host, tail),
+        F.concat(F.lit("http://"), host, F.lit(".123"), tail),
+        F.concat(F.lit(f"http://{LONG_DOMAIN}"), tail),
+    )
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(rows).alias("v", "url"))
+    return rows.select((F.col("page_id") * 4 + F.col("v")).alias("row_id"), "url")
+
+
 def rule_predictions(spark, sf_dir) -> DataFrame:
     """(row_id, actual, predicted): a fixed rule guesses the class of a page from its URL."""
     guess = (

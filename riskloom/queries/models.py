@@ -18,11 +18,9 @@ from ..sources.staging import new_path
 from ..streaming.scoring import read_url_stream, score_stream, write_stream
 from .inputs import labelled_pages, rules, table
 
-TREES, DEPTH = 40, 12
-
 
 def _forest(spark, sf):
-    return fit_lexical(labelled_pages(spark, sf), key="row_id", trees=TREES, max_depth=DEPTH)
+    return fit_lexical(labelled_pages(spark, sf), key="row_id")
 
 
 def _hybrid(spark, sf):
@@ -61,19 +59,19 @@ def forest_reevaluation(spark, sf):
 def text_metrics(spark, sf):
     """Language of the documents by character TF-IDF: the classification report."""
     docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("type"))
-    return fit_text(docs, text="text", key="doc_id", normalize=False).report
+    return fit_text(docs, text="text", key="doc_id", max_features=None, normalize=False).report
 
 
 def text_binary_metrics(spark, sf):
     """Two classes: the given `quality` label of documents."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("type"))
-    return fit_text(docs.join(labels, "doc_id"), text="text", key="doc_id", normalize=False).report
+    return fit_text(docs.join(labels, "doc_id"), text="text", key="doc_id", max_features=None, normalize=False).report
 
 
 def text_scores(spark, sf):
     """All pages scored by the TF-IDF model."""
-    model = fit_text(labelled_pages(spark, sf), key="row_id").model
+    model = fit_text(labelled_pages(spark, sf), key="row_id", max_features=None).model
     return score(model, labelled_pages(spark, sf)).select("row_id", "url", "type", "prediction", "probabilities")
 
 

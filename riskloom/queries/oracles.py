@@ -3,7 +3,7 @@
 from ..functions.constants import (
     DOMAIN_FEATURES, LEXICAL_FEATURES, LEXICAL_GROUPS, NA_TOKENS, SUSPICIOUS_WORDS,
 )
-from .inputs import DEEP_RULES, RULES
+from .inputs import DEEP_RULES, LONG_DOMAIN, RULES, SPECIAL_RULES
 
 # White space that is stripped, as SQL text.
 WS = (
@@ -64,6 +64,16 @@ decorated AS (
   UNION ALL SELECT page_id * 4 + 3, 'https://[' || h || '/bank' || t FROM decorated_parts
 )"""
 
+SPECIAL = f"""special_parts AS (
+  SELECT page_id, split_part({REST}, '/', 1) AS h, regexp_replace({REST}, '^[^/]*', '') AS t FROM pages
+),
+special AS (
+  SELECT page_id * 4 AS row_id, 'http://a.b.c.d.' || h || t AS url FROM special_parts
+  UNION ALL SELECT page_id * 4 + 1, 'http://xn--bcher-kva.' || h || t FROM special_parts
+  UNION ALL SELECT page_id * 4 + 2, 'http://' || h || '.123' || t FROM special_parts
+  UNION ALL SELECT page_id * 4 + 3, 'http://{LONG_DOMAIN}' || t FROM special_parts
+)"""
+
 
 def parts(source):
     """CTE `parts`: the columns of `source` plus URL parts."""
@@ -348,6 +358,7 @@ ORACLES = {
     "domain_split_deep_rules": domain_query(PAGE_URLS, "urls", DEEP_RULES, SPLIT_LIST),
     "domain_features": domain_query(PAGE_URLS, "urls", DEEP_RULES, f"page_id, {domain_list()}"),
     "domain_features_decorated": domain_query(DECORATED, "decorated", RULES, f"row_id, {domain_list()}"),
+    "domain_features_special": domain_query(SPECIAL, "special", SPECIAL_RULES, f"row_id, {domain_list()}"),
     "high_entropy_domains": f"SELECT * FROM ({domain_query(PAGE_URLS, 'urls', DEEP_RULES, 'domain, count(*) AS n_urls, round(coalesce(any_value(entropy), 0), 4) AS entropy')} "
     "GROUP BY domain) WHERE entropy > 2.5",
     "combined_features": domain_query(PAGE_URLS, "urls", RULES, f"page_id, {lexical_list(LEXICAL_ONLY)}, {domain_list()}"),
@@ -360,15 +371,15 @@ ORACLES = {
     "sum(tf)::BIGINT AS n_occurrences, max(tf) AS max_tf FROM terms GROUP BY id",
     "vocabulary": f"WITH {grams('pages', 'page_id', 'url')}, {fitted('pages', 'terms')} SELECT gram, df, total, round(idf, 6) AS idf FROM vocab",
     "vocabulary_capped": f"WITH {grams('pages', 'page_id', 'url')}, {fitted('pages', 'terms', 500)} SELECT gram, df, total, round(idf, 6) AS idf FROM vocab",
-    "document_vocabulary": f"WITH {grams('documents', 'doc_id', 'text')}, {fitted('documents', 'terms', 500000)} "
+    "document_vocabulary": f"WITH {grams('documents', 'doc_id', 'text')}, {fitted('documents', 'terms')} "
     "SELECT gram, df, total, round(idf, 6) AS idf FROM vocab",
-    "char_tfidf": f"WITH {grams('pages', 'page_id', 'url')}, {fitted('pages', 'terms', 500000)}, {weighted('terms')} "
+    "char_tfidf": f"WITH {grams('pages', 'page_id', 'url')}, {fitted('pages', 'terms')}, {weighted('terms')} "
     "SELECT id AS page_id, gram, tf, round(tfidf, 6) AS tfidf FROM unit",
-    "document_tfidf": f"WITH {grams('documents', 'doc_id', 'text')}, {fitted('documents', 'terms', 500000)}, {weighted('terms')} "
+    "document_tfidf": f"WITH {grams('documents', 'doc_id', 'text')}, {fitted('documents', 'terms')}, {weighted('terms')} "
     "SELECT id AS doc_id, count(*) AS n_known, round(sum(tfidf), 4) AS sum_tfidf, round(max(tfidf), 6) AS max_tfidf FROM unit GROUP BY id",
-    "tfidf_train_test": f"WITH {PAGE_SPLIT}, {grams('train', 'row_id', 'url')}, {fitted('train', 'terms', 500000)}, "
+    "tfidf_train_test": f"WITH {PAGE_SPLIT}, {grams('train', 'row_id', 'url')}, {fitted('train', 'terms')}, "
     f"{grams('test', 'row_id', 'url', 'test_terms')}, {weighted('test_terms')} SELECT id AS row_id, gram, round(tfidf, 6) AS tfidf FROM unit",
-    "tfidf_shapes": f"WITH {PAGE_SPLIT}, {grams('train', 'row_id', 'url')}, {fitted('train', 'terms', 500000)} "
+    "tfidf_shapes": f"WITH {PAGE_SPLIT}, {grams('train', 'row_id', 'url')}, {fitted('train', 'terms')} "
     "SELECT split, count(*) AS n_rows, (SELECT count(*) FROM vocab) AS n_features FROM split GROUP BY split",
     "uniform_sample": f"WITH {PAGES} SELECT * FROM labelled ORDER BY md5('42:' || url), url LIMIT 40",
     "stratified_sample": f"WITH {PAGES}, {quota_ctes('labelled', 'type', '40::HUGEINT')} SELECT row_id, url, type FROM marked WHERE inside",

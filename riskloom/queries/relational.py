@@ -14,7 +14,7 @@ from ..sources.staging import new_path, stage_table
 from ..sources.tables import null_tokens, preview, profile, read_urls
 from ..streaming.scoring import read_url_stream, write_stream
 from .inputs import (
-    DEEP_RULES, decorated_urls, labelled_pages, raw_urls, rule_predictions, rules, table,
+    DEEP_RULES, decorated_urls, labelled_pages, raw_urls, rule_predictions, rules, special_urls, SPECIAL_RULES, table,
 )
 
 
@@ -118,6 +118,12 @@ def domain_features_decorated(spark, sf):
     return df.withColumns({c: F.round(c, 6) for c in ("domain_digit_ratio", "domain_hyphens_ratio")})
 
 
+def domain_features_special(spark, sf):
+    """Hosts on which the four yes/no domain features take both values."""
+    df = with_domain_features(special_urls(spark, sf), rules(spark, SPECIAL_RULES)).drop("url")
+    return df.withColumns({c: F.round(c, 6) for c in ("domain_digit_ratio", "domain_hyphens_ratio")})
+
+
 def high_entropy_domains(spark, sf):
     split = with_domain_split(_hosts(spark, sf), rules(spark, DEEP_RULES), "host", "has_ip")
     counts = split.groupBy("domain").agg(F.count("*").alias("n_urls"))
@@ -331,7 +337,7 @@ QUERIES = {f.__name__: f for f in (
     lexical_features, lexical_features_decorated, lexical_by_host, url_parts, feature_selection,
     na_tokens, normalize_urls, clean_urls, duplicates_removed, class_distribution, class_percentages,
     distinct_labels, dataset_profile, preview_head, csv_source,
-    domain_split, domain_split_deep_rules, domain_features, domain_features_decorated, high_entropy_domains,
+    domain_split, domain_split_deep_rules, domain_features, domain_features_decorated, domain_features_special, high_entropy_domains,
     combined_features, text_entropy,
     char_ngrams, document_ngrams, vocabulary, vocabulary_capped, document_vocabulary, char_tfidf, document_tfidf,
     tfidf_train_test, tfidf_shapes,

@@ -27,8 +27,12 @@ def read_csv(spark: SparkSession, path, multi_line=None, **options) -> DataFrame
         lines = spark.read.text(path)
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         multi_line = not lines.filter(quotes % 2 == 1).isEmpty()
-    reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
-    return reader.option("multiLine", multi_line).options(**options).csv(path)
+    return spark.read.options(**csv_options(multi_line)).options(**options).csv(path)
+
+
+def csv_options(multi_line: bool) -> dict:
+    """How a headered CSV file is read, in batch and as a stream."""
+    return {"header": True, "escape": '"', "enforceSchema": False, "multiLine": multi_line}
 
 
 def read_urls(spark: SparkSession, path, fmt: str = "csv", **options) -> DataFrame:

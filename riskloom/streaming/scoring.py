@@ -8,13 +8,14 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.scoring import score
+from ..sources.tables import csv_options
 
 
 def read_url_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files_per_trigger=None) -> DataFrame:
     """Files arriving in a folder (or matching a glob), as a stream."""
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("escape", '"')
+        reader = reader.options(**csv_options(multi_line=True))  # records may span lines; a stream can't look ahead
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(path)
