@@ -151,7 +151,7 @@ def added_spans(rows: DataFrame, found: DataFrame, terms: DataFrame) -> DataFram
     some = hits.alias("h").join(spans.alias("s"), F.col("h.hit_id").eqNullSafe(F.col("s.hit_id")) & (F.col("h.hit_mark") == F.col("s.hit_mark"))).select(
         "h.hit_id", "h.hit_mark", "h.terms", "s.starts", "s.ends")
     some = stage_table(some, "sought")
-    joined = sized_join(rows.distinct(), some, same, "inner").select("doc_id", "mark", "text", "terms", "starts", "ends")
+    joined = sized_join(rows, some, same, "inner").select("doc_id", "mark", "text", "terms", "starts", "ends")
 
     def work(batch):
         import json
@@ -162,7 +162,7 @@ def added_spans(rows: DataFrame, found: DataFrame, terms: DataFrame) -> DataFram
         return {"doc_id": batch.column(0), "mark": batch.column(1), **{
             f"added_{name}": [[s[i] for s in x] for x in out] for i, name in enumerate(("kinds", "starts", "ends"))}}
 
-    return map_batches(joined, work, ADDED_SCHEMA)
+    return map_batches(joined, work, ADDED_SCHEMA).dropDuplicates(["doc_id", "mark"])  # repeated rows have equal spans
 
 
 def find_personal(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
