@@ -34,7 +34,7 @@ TEXT_LEAF, ID_LEAF = 1 << 15, 1 << 16
 #: Bytes of a leaf of a piece's tree.
 LEAF = 16
 #: Entries that each memo of a worker may hold, and the longest keys in it.
-MEMO, MEMO_KEY = 500_000, 48
+MEMO, MEMO_KEY = 200_000, 48
 
 
 class _Memo(dict):

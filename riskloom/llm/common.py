@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..sources.staging import new_path, shared_dir, stage_table  # noqa: F401  (re-exported)
 
 #: Arrow batches handed to Python hold at most this many bytes, so long texts don't pile up in a worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
 #: A measured table up to this size is broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 32 << 20

@@ -35,7 +35,7 @@ SCRIPTS = [
     ("han", [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F)]),
 ]
 #: Words and characters that a worker's memo may hold.
-MEMO_WORDS, MEMO_CHARS = 400_000, 8_000_000
+MEMO_WORDS, MEMO_CHARS = 150_000, 3_000_000
 
 _table = None
 
