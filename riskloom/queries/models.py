@@ -1,6 +1,7 @@
 """Registered queries that train, compare and apply models.
 
-Solvers are iterative, so SQL has no twin for these. The tables label no URL: the class of
+Solvers are iterative, so SQL has no twin for the fitted numbers. The class of a page is written in its URL, so a right
+classifier of texts predicts every row: the queries named `*_checked` use that, and what holds for any model. The tables label no URL: the class of
 a page is the language section of its path (synthetic); documents have a given language.
 """
 
@@ -108,7 +109,42 @@ def stream_scores(spark, sf):
     return spark.read.parquet(out)
 
 
+def text_predictions_checked(spark, sf):
+    """Every page scored by the TF-IDF model after saving and loading."""
+    root = new_path(spark, "models")
+    save_model(fit_text(labelled_pages(spark, sf), key="row_id", max_features=None).model, root, "tfidf")
+    return score(load_model(root, "tfidf"), labelled_pages(spark, sf)).select("row_id", "prediction")
+
+
+def stream_predictions_checked(spark, sf):
+    """Every page scored as a stream by a saved and loaded hybrid model."""
+    return stream_scores(spark, sf).select("page_id", "prediction")
+
+
+def ablation_checked(spark, sf):
+    """Rows of the test part by experiment and class, and how many of them were predicted right."""
+    root = new_path(spark, "models")
+    results = run_ablation(labelled_pages(spark, sf), DOMAIN_EXPERIMENTS, key="row_id", rules=rules(spark), save_to=root)
+    rows = None
+    for name, result in results.items():
+        right = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+        row = result.confusion.groupBy("actual").agg(F.sum("n").alias("n_test"), F.sum(right).alias("n_right"))
+        row = row.withColumn("experiment", F.lit(name))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows.withColumnRenamed("actual", "type")
+
+
+def forest_checked(spark, sf):
+    """Every page: ranked classes, their probabilities' sum, and whether the prediction is ranked first."""
+    ranked = ranked_probabilities(forest_scores(spark, sf), keep=("row_id", "type", "prediction"))
+    first = F.max(F.when(F.col("rank") == 1, F.col("class")))
+    return ranked.groupBy("row_id", "type").agg(
+        F.count("*").alias("n_classes"), F.max("rank").alias("last_rank"), F.round(F.sum("probability"), 6).alias("total"),
+        (first == F.first("prediction")).alias("agrees"))
+
+
 QUERIES = {f.__name__: f for f in (
     forest_metrics, forest_importance, forest_scores, forest_reevaluation, text_metrics, text_binary_metrics,
     text_scores, hybrid_scores, hybrid_ranked_probabilities, ablation_lexical, ablation_domain, stream_scores,
+    text_predictions_checked, stream_predictions_checked, ablation_checked, forest_checked,
 )}

@@ -407,4 +407,12 @@ ORACLES = {
     "metrics_csv_sink": f"WITH {experiments_ctes()} SELECT {ROUNDED} FROM results",
     "stream_features": f"{LEXICAL} SELECT page_id, {lexical_list()} FROM hosts",
     "stream_domain_features": domain_query(PAGE_URLS, "urls", DEEP_RULES, f"page_id, {domain_list()}"),
+    # The class is written in the URL: whatever the solver, a right text model predicts it for every row.
+    "text_predictions_checked": f"WITH {PAGES} SELECT row_id, type AS prediction FROM labelled",
+    "stream_predictions_checked": f"WITH {PAGES} SELECT row_id AS page_id, type AS prediction FROM labelled",
+    "ablation_checked": f"WITH {PAGE_SPLIT} SELECT type, count(*) AS n_test, count(*) AS n_right, experiment "
+    "FROM test, (SELECT unnest(['v4_tfidf_only', 'v4_tfidf_v3', 'v4_tfidf_domain', 'v4_tfidf_v3_domain']) AS experiment) "
+    "GROUP BY type, experiment",
+    "forest_checked": f"WITH {PAGES}, k AS (SELECT count(DISTINCT type) AS n FROM labelled) "
+    "SELECT row_id, type, n AS n_classes, n::INT AS last_rank, 1.0::DOUBLE AS total, true AS agrees FROM labelled, k",
 }
