@@ -9,7 +9,7 @@ all pairs inside are stable, and the pairs outside have not changed: tokens outs
 doubles, until it holds everything.
 
 Text is cut before a blank that follows a non-blank: no match of the split pattern spans such a place, so
-there the product is plain concatenation. Decoding concatenates up the same kind of tree. Leaves of up to 16 bytes and
+there the product is plain concatenation, of leaves in one walk. Decoding concatenates up a tree. Leaves of up to 16 bytes and
 the windows are merged by the public tokenizer library; everything above them is the tree.
 
 Null text counts as empty and gives no ids. Ids are packed as little-endian unsigned 32-bit integers.
@@ -29,7 +29,7 @@ from .common import prepare_python, documents
 
 #: What the split pattern's \s means for the vocabulary (Unicode White_Space; Python's own \s has four more).
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Characters of a leaf of the text tree; ids of a leaf of the decoding tree.
+#: Characters from which on a leaf of a text ends at the next cut; ids of a leaf of the decoding tree.
 TEXT_LEAF, ID_LEAF = 1 << 15, 1 << 16
 #: Bytes of a leaf of a piece's tree.
 LEAF = 16
@@ -99,9 +99,18 @@ class Bpe:
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
         if len(text) > TEXT_LEAF:
-            place = self.cut.search(text, len(text) // 2) or self.cut.search(text, 1)
-            if place:
-                return self.encode(text[: place.start()]) + self.encode(text[place.start():])
+            return b"".join(map(self._leaf, self.leaves(text)))
+        return self._leaf(text)
+
+    def leaves(self, text: str):
+        """The text in order, cut at the first place from `TEXT_LEAF` characters on: one walk, whatever the order of long and short words."""
+        start = 0
+        while place := self.cut.search(text, start + TEXT_LEAF):
+            yield text[start:place.start()]
+            start = place.start()
+        yield text[start:]
+
+    def _leaf(self, text: str) -> bytes:
         if self.blank_then_space.search(text):
             return b"".join(map(self.plain.__getitem__, self.chunks.findall(text)))
         first, *words = text.split(" ")

@@ -31,6 +31,15 @@ def test_bpe_equals_the_library(codec):
         assert codec.decode(ids) == text.encode()
 
 
+def test_long_texts_in_any_order(codec):
+    run, words = "A" * 40000, "word " * 20000
+    for text in ("word " * 1200 + run, words + run, run + words, words + run + " x", "\n" + words + run * 2 + words, run * 2, " " * 70000 + run):
+        ids = codec.encode(text)
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == LIBRARY.encode_ordinary(text)
+        assert codec.decode(ids) == text.encode() and "".join(codec.leaves(text)) == text
+        assert len(list(codec.leaves(text))) <= len(text) // bpe.TEXT_LEAF + 1
+
+
 def test_every_rank_encodes_to_itself(codec):
     """What the proof of `join` needs of a vocabulary."""
     assert all(codec.piece(b) == [i] for b, i in RANKS.items())
