@@ -10,7 +10,8 @@ other language over A. Every other path that contains a switch deviates from A i
 no stretch of m sums to the penalty, staying in A is the best path.
 
 The model is fitted on a bounded sample: about `SAMPLE` labelled rows per language, chosen by a hash of the id. Its size
-is languages x buckets. Prediction reads the text alone. Null text and text without a letter give `und`, score 0.
+is languages x buckets. Prediction reads the text alone. Null text and text without a letter give `und`, score 0, as does every
+text if no learned row has a language.
 """
 
 from collections import Counter
@@ -55,14 +56,15 @@ def script_table() -> np.ndarray:
 
 def features(words: list[str]):
     """(bucket per letter, word per letter, letters per word, script per word)."""
-    text = np.frombuffer(("\0" + "\0".join(words) + "\0").lower().encode("utf-32-le"), "<u4")
+    words = [w.lower() for w in words]
+    text = np.frombuffer(("\0" + "\0".join(words) + "\0").encode("utf-32-le"), "<u4")
     scripts = script_table()[text]
-    word = np.cumsum(text == 0) - 1
+    word = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])  # by length: a word may hold U+0000 itself
     c = np.where(scripts > 0, text, 0).astype(np.uint64)  # what is no letter is a word boundary
     at = np.flatnonzero(scripts > 0)
     code = (c[at - 1] * np.uint64(0x9E3779B97F4A7C15)) ^ (c[at] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (c[at + 1] * np.uint64(0x165667B19E3779F9))
     code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    owner = word[at]
+    owner = word[at - 1]
     counts = np.bincount(owner, minlength=len(words))
     script = np.zeros(len(words), np.uint8)
     script[owner[::-1]] = scripts[at][::-1]  # that of the first letter
@@ -107,6 +109,8 @@ class Model:
 
     def label(self, texts: list[str]):
         """Per text (language, score, spans of (language, first word, end))."""
+        if not self.languages:
+            return [("und", 0.0, []) for _ in texts]
         numbers = self.words
         if len(numbers) > MEMO_WORDS or self.chars > MEMO_CHARS:
             self.reset()

@@ -107,6 +107,15 @@ def test_language(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
 
 
+def test_language_of_texts_with_nul_and_without_labels(spark):
+    rows = [(i, f"a\0b c\0\0 wo\0rd {i}", "en" if i % 2 else "de") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labelled = language_id.label_languages(docs, language_id.fit(docs)).collect()
+    assert len(labelled) == 8 and {r["lang_pred"] for r in labelled} <= {"de", "en"}
+    unlabelled = language_id.label_languages(docs, language_id.fit(docs.withColumn("lang", F.lit(None).cast("string")))).collect()
+    assert [(r["lang_pred"], r["score"], r["span_langs"]) for r in unlabelled] == [("und", 0.0, [])] * 8
+
+
 def test_vectors(spark):
     rows = [(i, [float(i % 7), 1.0, float(i % 5)]) for i in range(60)] + [(60, None), (61, []), (62, [0.0, 0.0, 0.0]), (63, [1.0, None, 1.0]),
             (64, [float("nan"), 1.0, 1.0]), (65, [1.0]), (None, [1.0, 1.0, 1.0]), (0, [0.0, 1.0, 0.0])]

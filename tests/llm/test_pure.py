@@ -104,6 +104,20 @@ def test_short_cut_of_the_language_path_is_exact():
         assert "".join(x * (b - a) for x, a, b in spans) == "".join("abc"[s] for s in states)
 
 
+def test_letters_of_words_that_hold_nul():
+    words = ["a\0b", "\0", "Straße", "\0\0x\0", "ΟΔΟΣ", "İ", "12", "да"]
+    bucket, owner, letters, script = language_id.features(words)
+    alone = [language_id.features([w]) for w in words]
+    assert letters.tolist() == [2, 0, 6, 1, 4, 1, 0, 2] and owner.tolist() == np.repeat(np.arange(8), letters).tolist()
+    assert bucket.tolist() == [x for a in alone for x in a[0].tolist()] and script.tolist() == [int(a[3][0]) for a in alone]
+    model = language_id.Model({(lang, kind, 1): 1 for lang in "ab" for kind in (0, 1)})
+    assert [x[0] for x in model.label(["one \0 t\0w\0o", "\0"])] == ["a", "und"]
+
+
+def test_model_without_languages():
+    assert language_id.Model({}).label(["some words", "", "x"]) == [("und", 0.0, [])] * 3
+
+
 def test_signature_tree_connects_what_brute_force_connects():
     rng = np.random.default_rng(6)
     for percent in (80, 85):
