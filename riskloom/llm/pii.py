@@ -43,6 +43,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_byte(digits: str) -> bool:
+    digits = digits.lstrip("0")  # Python refuses to convert thousands of digits, zeros too
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def emails(text: str):
     """Leftmost non-overlapping matches, tried only at the runs that end in an @."""
     at, end = text.find("@"), 0
@@ -63,7 +68,7 @@ def base_spans(text: str) -> list[tuple]:
     if "@" in text:
         found += [("email", m.start(), m.end()) for m in emails(text)]
     if _DIGIT.search(text):
-        found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(map(is_byte, m[0].split(".")))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 digits = m[0].replace(" ", "").replace("-", "")

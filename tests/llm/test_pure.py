@@ -91,6 +91,11 @@ def test_base_patterns_of_personal_data():
         assert pii.base_spans(text) == expected
 
 
+def test_addresses_with_thousands_of_zeros():
+    for text, found in (("0" * 5000 + ".0.0.1", True), ("1.2.3." + "0" * 5000 + "255", True), ("1.2.3." + "0" * 5000 + "256", False), ("1" * 5000 + ".0.0.1", False)):
+        assert [x for x in pii.base_spans(text) if x[0] == "ip"] == [("ip", 0, len(text))] * found
+
+
 def test_short_cut_of_the_language_path_is_exact():
     rng = np.random.default_rng(5)
     model = language_id.Model({(lang, 0, i): 1 for i, lang in enumerate("abc")} | {(lang, 1, 1): 1 for lang in "abc"})
