@@ -10,13 +10,15 @@ Base spans stay as they are; disclosing terms are added spans (`reveal`: remove,
 base span. Whole texts, code points, end exclusive; null text counts as empty. Rows are told apart by id and text, so repeated
 rows agree; rows without an id are treated like others.
 
-Terms are runs of letters in lower case. Counts are pre-aggregated in map tasks; tables that are joined are measured and
+Terms, in lower case, are runs of two letters or more, and runs of letters and digits that hold both; a run that is no disclosing
+term as a whole may hold one. Single letters and bare numbers are no terms. Counts are pre-aggregated in map tasks; tables that are joined are measured and
 broadcast only when small. No step gathers the rows of an entity or a term.
 """
 
 import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import arrow_schema, documents, id_and_text, map_batches, prepare_python, sized_join, stage_table
@@ -29,9 +31,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ["email", "ip", "card", "phone"]
 ADDED = ["reveal", "hint"]
-SUPPORT, REMOVE, GENERALISE = 3, 1.0 - 1e-9, 0.99
+SUPPORT, REMOVE, GENERALISE = 3, 1.0 - 1e-9, 0.9
 
-_DIGIT, _TERM = re.compile("[0-9]"), re.compile(r"[^\W\d_]{3,}")
+_DIGIT = re.compile("[0-9]")
+_RUN, _LETTERS = regex.compile(r"[\p{L}\p{Nd}]+"), regex.compile(r"\p{L}{2,}")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 
 
@@ -100,8 +103,10 @@ def find_base(rows: DataFrame) -> DataFrame:
 
 
 def terms_of(text):
-    """Column: distinct lower-case runs of three letters or more."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
+    """Column: distinct lower-case terms."""
+    letters = F.filter(F.split(text, r"[^\p{L}]+"), lambda w: F.length(w) >= 2)
+    mixed = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{Nd}])(?:\p{L}++\p{Nd}|\p{Nd}++\p{L})[\p{L}\p{Nd}]*+"), 0)
+    return F.array_distinct(F.transform(F.concat(letters, mixed), F.lower))
 
 
 def disclosing_terms(rows: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
@@ -134,11 +139,13 @@ ADDED_SCHEMA = "doc_id long,mark long,added_kinds array<string>,added_starts arr
 
 def term_spans(text: str, kinds: dict[str, str], taken: list[tuple]) -> list[tuple]:
     """(kind, start, end) of the terms in `kinds`, where they overlap none of the (start, end) taken."""
+    def free(m):
+        return not any(a < m.end() and m.start() < b for a, b in taken)
+
     out = []
-    for m in _TERM.finditer(text):
-        kind = kinds.get(m[0].lower())
-        if kind and not any(a < m.end() and m.start() < b for a, b in taken):
-            out.append((kind, m.start(), m.end()))
+    for run in _RUN.finditer(text):
+        whole = [run] if run[0].lower() in kinds and free(run) else _LETTERS.finditer(text, *run.span())
+        out += [(kinds[m[0].lower()], *m.span()) for m in whole if m[0].lower() in kinds and free(m)]
     return out
 
 

@@ -66,6 +66,25 @@ def test_disclosing_terms(spark):
     assert out[0].split() == ["alpha", "beta", "[...]", "[...]", "[email]"] and out[9].split() == ["alpha", "beta"]
 
 
+def test_partly_disclosing_short_and_mixed_terms(spark):
+    rows = [(i, f"plain text {'Li jd42 E1234 Zorro a@b.org' if i < 9 else ''} {'Quux' if i < 10 else ''}") for i in range(200)]
+    rows[3] = (3, "plain text Li jd42 E1234 Zorro7 Quux a@b.org")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].split() == ["plain", "text", *["[...]"] * 4, "[email]", "Aaaa"] and out[9].split() == ["plain", "text", "Aaaa"]
+    assert out[3].split() == ["plain", "text", *["[...]"] * 3, "[...]7", "Aaaa", "[email]"] and out[10].split() == ["plain", "text"]
+
+
+def test_terms_are_found_where_they_are_counted(spark):
+    texts = ["Ab1 1ab 22 x ½abc x² İstanbul ΟΔΟΣ \U00010400\U00010401 你好3 a_b9 it's 123abc456 " + "q" * 50000 + " " + "7" * 50000 + "z", ""]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", pii.terms_of(F.col("text")).alias("terms")).collect()
+    for text, terms in rows:
+        spans = pii.term_spans(text, dict.fromkeys(terms, "hint"), [])
+        inside = {m[0].lower() for m in pii._LETTERS.finditer(text)}
+        assert {text[a:b].lower() for _, a, b in spans} | inside == set(terms)
+    assert {"ab1", "1ab", "ab", "abc", "istanbul".replace("i", "i\u0307", 1), "οδος", "你好3", "b9", "it", "123abc456"} <= set(rows[0].terms)
+    assert not {"22", "x", "a", "s", ""} & set(rows[0].terms)
+
+
 def test_line_dedup(spark):
     rows = [(i, "http://A.com/x", f"<p>menu</p><p>text <b>{i}</b></p>menu<br>foot {i % 2}", 1) for i in range(10)]
     rows += [(20, "http://b.com", "<p>menu</p>", 1), (21, None, "menu", 1), (22, "http://a.com:80/", None, 1), (None, "http://a.com", "", 1), (0, *rows[0][1:])]
