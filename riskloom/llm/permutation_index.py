@@ -9,7 +9,10 @@ double precision, on the original vectors.
 With places i and j, footrule counts |i - j| for a shared pivot and (LENGTH - i) + (LENGTH - j) otherwise, so
 ranking by it is ranking by the sum of LENGTH - max(i, j) over shared pivots, which the inverted files give directly.
 
-Pivots are a bounded sample of at most `PIVOTS` vectors (chosen by a hash of the id). Every vector is indexed, and a hash of ids deals
+Pivots come from a bounded sample of rows (chosen by a hash of the id), in two sets of at most `PIVOTS` vectors: `spread`, each as far
+from those before as can be, and `common`, in the order of the hash. Vectors in a large group of near copies differ only by pivots
+of that group, which `common` has and `spread` has not; all others differ more by `spread`. Each set has its own
+codes and ranking, and what either ranks first is reranked. Every vector is indexed, and a hash of ids deals
 them evenly however common a vector is. Queries go to all segments, in blocks of about `BLOCK`. Vectors that are null, zero, of another length
 than most pivots, or that hold a null or non-finite component take no part. Rows with the query's id are its own; of
 repeated ids one counts.
@@ -47,28 +50,40 @@ def directions(vectors: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(vectors: DataFrame, most: int = PIVOTS) -> np.ndarray:
-    """Unit pivots from a sample of at most 4 x `most` rows, without repeated vectors."""
+    """Two sets of unit pivots (set, pivot, component) from a sample of at most 4 x `most` rows, without repeated vectors."""
     some = vectors.filter(F.col("v").isNotNull()).orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * most).toArrow()
     _, found = usable(some.column("v"))
     if not found:
-        return np.zeros((0, 0))
+        return np.zeros((2, 0, 0))
     sizes = [len(a) for a in found]
     dim = max(sorted(set(sizes)), key=sizes.count)
     unit = directions(np.array([a for a in found if len(a) == dim]))
     _, first = np.unique(unit, axis=0, return_index=True)
-    return unit[np.sort(first)[:most]]
+    unit = unit[np.sort(first)]
+    return np.stack([unit[spread(unit, most)], unit[:most]])
+
+
+def spread(unit: np.ndarray, most: int) -> list[int]:
+    """At most `most` rows, each the one least like its nearest among those before; ties to the first."""
+    chosen, near = [0], np.full(len(unit), -np.inf)
+    while len(chosen) < min(most, len(unit)):
+        near = np.maximum(near, unit @ unit[chosen[-1]])
+        near[chosen[-1]] = np.inf
+        chosen.append(int(near.argmin()))
+    return chosen
 
 
 def represent(vectors: DataFrame, pivots) -> DataFrame:
-    """(vec_id, code, raw): the ordered pivots and the components of every vector that takes part."""
+    """(vec_id, code, raw): the ordered pivots of both sets and the components of every vector that takes part."""
     prepare_python(vectors.sparkSession)
 
     def run(batches):
         for batch in batches:
-            rows, found = usable(batch.column(1), pivots.value.shape[1])
+            rows, found = usable(batch.column(1), pivots.value.shape[2])
             if rows:
-                near = directions(found) @ pivots.value.T
-                order = np.argsort(-near, axis=1, kind="stable")[:, :LENGTH].astype("<u2")
+                unit = directions(found)
+                order = np.concatenate([np.argsort(-(unit @ own.T), axis=1, kind="stable")[:, :LENGTH] + i * len(own)
+                                        for i, own in enumerate(pivots.value)], axis=1).astype("<u2")
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(rows)), pa.array([x.tobytes() for x in order], pa.binary()),
                     pa.array([x.astype("<f8").tobytes() for x in found], pa.binary())], names=["vec_id", "code", "raw"])
@@ -77,19 +92,26 @@ def represent(vectors: DataFrame, pivots) -> DataFrame:
 
 
 class Segment:
-    """Inverted files of a block of vectors, sorted by id; of repeated ids the first is kept."""
+    """Inverted files of a block of vectors, sorted by id; of repeated ids the first is kept. A code has `sets` parts of equal length."""
 
-    def __init__(self, ids, codes, raws, pivots: int):
+    def __init__(self, ids, codes, raws, pivots: int, sets: int = 1):
         self.ids, first = np.unique(ids, return_index=True)
         order = np.frombuffer(b"".join(codes), "<u2").reshape(len(ids), -1)[first]
         self.unit = directions(np.frombuffer(b"".join(raws), "<f8").reshape(len(ids), -1)[first])
-        self.length = order.shape[1]
+        self.sets, self.length = sets, order.shape[1] // sets
         by_pivot = np.argsort(order.ravel(), kind="stable")
-        self.rows, self.places = by_pivot // self.length, by_pivot % self.length
+        self.rows, self.places = by_pivot // order.shape[1], by_pivot % self.length
         self.cuts = np.searchsorted(order.ravel()[by_pivot], np.arange(pivots + 1))
 
     def nearest(self, query: int, code: np.ndarray, vector: np.ndarray, top: int):
-        """Ids and cosines of the best, found by footrule and reranked."""
+        """Ids and cosines of the best, found by the footrule of each set and reranked."""
+        near = np.unique(np.concatenate([self.ranked(query, own) for own in np.split(code, self.sets)]))
+        scores = (self.unit[near] * vector).sum(axis=1)
+        best = np.lexsort((self.ids[near], -scores))[:top]
+        return self.ids[near[best]].tolist(), scores[best].tolist()
+
+    def ranked(self, query: int, code: np.ndarray):
+        """Rows of the nearest share by the footrule of one set."""
         files = [slice(self.cuts[p], self.cuts[p + 1]) for p in code]
         rows = np.concatenate([self.rows[f] for f in files])
         shared = np.concatenate([self.length - np.maximum(self.places[f], i) for i, f in enumerate(files)])
@@ -98,10 +120,7 @@ class Segment:
         rank[self.ids == query] = -1
         ranked = max(LEAST, int(RANKED * n))
         near = np.argpartition(-rank, ranked)[:ranked] if n > ranked else np.arange(n)
-        near = near[rank[near] >= 0]
-        scores = (self.unit[near] * vector).sum(axis=1)
-        best = np.lexsort((self.ids[near], -scores))[:top]
-        return self.ids[near[best]].tolist(), scores[best].tolist()
+        return near[rank[near] >= 0]
 
 
 def search(rows: DataFrame, queries: DataFrame, pivots, top: int) -> DataFrame:
@@ -117,14 +136,14 @@ def search(rows: DataFrame, queries: DataFrame, pivots, top: int) -> DataFrame:
 
     both = rows.withColumn("part", own(parts)).withColumn("query_part", every(query_parts)).withColumn("asks", F.lit(False)).unionByName(
         queries.withColumn("query_part", own(query_parts)).withColumn("part", every(parts)).withColumn("asks", F.lit(True)))
-    count = len(pivots.value)
+    sets, count = pivots.value.shape[:2]
 
     def work(table: pa.Table) -> pa.Table:
         asks = table.column("asks")
         mine, theirs = table.filter(asks), table.filter(pa.compute.invert(asks))
         found = []
         if mine.num_rows and theirs.num_rows:
-            segment = Segment(theirs.column("vec_id").to_numpy(), theirs.column("code").to_pylist(), theirs.column("raw").to_pylist(), count)
+            segment = Segment(theirs.column("vec_id").to_numpy(), theirs.column("code").to_pylist(), theirs.column("raw").to_pylist(), sets * count, sets)
             vectors = directions(np.frombuffer(b"".join(mine.column("raw").to_pylist()), "<f8").reshape(mine.num_rows, -1))
             for query, code, vector in zip(mine.column("vec_id").to_pylist(), mine.column("code").to_pylist(), vectors):
                 ids, scores = segment.nearest(query, np.frombuffer(code, "<u2"), vector, top)
@@ -141,7 +160,7 @@ def nearest(df: DataFrame, is_query, top: int = 5, id_col="vec_id", vector_col="
     vectors = vectors.filter(F.col("vec_id").isNotNull())
     spark = df.sparkSession
     pivots = choose_pivots(vectors)
-    if not len(pivots):
+    if not pivots.size:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = vectors.filter("asks").select("vec_id", "v").dropDuplicates(["vec_id"])
     found = search(vectors.select("vec_id", "v"), queries, spark.sparkContext.broadcast(pivots), top)

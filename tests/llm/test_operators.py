@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,23 @@ def test_vectors(spark):
     assert few.count() == 2 and permutation_index.nearest(df.filter("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.001, 0.1])
+def test_recall_with_many_near_copies(spark, noise):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(2000, 64))
+    copies = rng.random(2000) < 1 / 3
+    v[copies] = v[0] / np.linalg.norm(v[0]) + noise / 8 * rng.normal(size=(copies.sum(), 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in permutation_index.nearest(df, F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit, hits = v / np.linalg.norm(v, axis=1, keepdims=True), {True: [], False: []}
+    for q in range(0, 2000, 10):
+        best = [i for i in np.argsort(-(unit @ unit[q]), kind="stable")[:6].tolist() if i != q][:5]
+        hits[bool(copies[q])].append(len(got[q] & set(best)) / 5)
+    assert np.mean(hits[False]) >= 0.93 and np.mean(hits[True]) >= 0.93, {k: np.mean(x) for k, x in hits.items()}
+
+
 def test_chat(spark, none):
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 1, "assistant", None), (None, None, None, None),
                                    (2, 5, "tool", "</s>")], "conv_id long, turn long, role string, text string")
