@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import Codec, default_codec
@@ -75,32 +76,38 @@ SCHEMA = "conv_id long, turn long, ids binary, loss_mask binary, formatted strin
 def format_turns(turns: DataFrame, codec: Codec) -> DataFrame:
     """One row per turn, in order within each conversation: ids, loss_mask, formatted text, its position and token offset.
 
-    `turns` has conv_id, turn, role, text. Each conversation's rows are next to each other, sorted, in one partition.
+    `turns` has conv_id, turn, role, text. Turns are encoded where they are read, however long their conversation; then each
+    conversation's rows are next to each other, sorted, in one partition.
     """
     prepare_python(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"),
                         F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+    def encode(batches):
+        for batch in batches:
+            made = [assemble(r, t, codec.get()) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            for i, (name, kind) in enumerate((("ids", pa.binary()), ("loss_mask", pa.binary()), ("formatted", pa.string()))):
+                batch = batch.append_column(pa.field(name, kind), pa.array([m[i] for m in made], kind))
+            yield batch
+
+    coded = rows.mapInArrow(encode, "conv_id long, turn long, role string, text string, ids binary, loss_mask binary, formatted string")
+    coded = coded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches):
         now, position, offset = object(), 0, 0
         for batch in batches:
-            conv, turn, role, text = (batch.column(i).to_pylist() for i in range(4))
-            made = [assemble(r, t, codec.get()) for r, t in zip(role, text)]
             places, offsets = [], []
-            for c, m in zip(conv, made):
+            for c, n in zip(batch.column(0).to_pylist(), pa.compute.binary_length(batch.column(3)).to_pylist()):
                 if c != now:
                     now, position, offset = c, 0, 0
                 places.append(position)
                 offsets.append(offset)
                 position += 1
-                offset += len(m[1])
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary()),
-                pa.array([m[2] for m in made], pa.string()), pa.array(places, pa.int64()), pa.array(offsets, pa.int64()),
-            ], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                offset += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64()), pa.array(offsets, pa.int64())],
+                                             names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return coded.select("conv_id", "turn", "ids", "loss_mask", "formatted").mapInArrow(run, SCHEMA)
 
 
 def read_turn(ids: bytes, mask: bytes, bpe) -> tuple[str, str, str | None]:

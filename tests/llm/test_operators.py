@@ -173,6 +173,22 @@ def test_chat(spark, none):
     assert chat_format.read_back(chat_format.format_turns(turns.filter("false"), codec), codec).count() == 0
 
 
+def test_turns_are_encoded_before_they_meet(spark):
+    rows = [(1, i // 2, ("user", "assistant", "tool", None)[i % 4], f"turn {i} </s> \\ {'x' * (i % 7)}") for i in range(200)]
+    rows += [(2, 0, "user", "b"), (2, 0, "user", "a"), (None, None, None, None)]
+    codec = chat_format.default_codec(spark)
+    out = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), codec)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("MapInArrow") > plan.index("RepartitionByExpression [conv_id")
+    expected, ends = [], {}
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0] or 0, r[1] or 0, r[2] or "", r[3] or "")):
+        made, (place, offset) = chat_format.assemble(role or "", text or "", codec.get()), ends.get(c, (0, 0))
+        expected.append((c, t, *made, place, offset))
+        ends[c] = place + 1, offset + len(made[1])
+    got = [(r[0], r[1], bytes(r[2]), bytes(r[3]), *r[4:]) for r in out.collect()]
+    assert sorted(got, key=lambda r: (r[0] or 0, r[5])) == expected
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_duplicates", "mixture", "byte_bpe"]
