@@ -100,8 +100,10 @@ def ablation_domain(spark, sf):
 
 
 def stream_scores(spark, sf):
-    """Pages scored as a stream by the hybrid model."""
-    model = _hybrid(spark, sf).model
+    """Pages scored as a stream by the hybrid model after saving and loading."""
+    root = new_path(spark, "models")
+    save_model(_hybrid(spark, sf).model, root, "hybrid")
+    model = load_model(root, "hybrid")
     schema = table(spark, sf, "pages").schema
     stream = read_url_stream(spark, f"{sf}/page[s].parquet", schema).select("page_id", "url")
     out = new_path(spark, "stream")
