@@ -1,100 +1,68 @@
 """Byte-level BPE as a monoid tree reduction.
 
 The encoding of a byte string is an element of a monoid whose product is `join`: halves are encoded
-recursively, and neighbours are joined by re-encoding a window around the boundary. Why this is exact: a
-token sequence is the encoding of its bytes if, and only if, each adjacent pair of tokens encodes to itself
+recursively down to single bytes, whose ids the ranks give, and neighbours are joined by re-encoding a window around the
+boundary. Why this is exact: a token sequence is the encoding of its bytes if, and only if, each adjacent pair of tokens encodes to itself
 (merges run in rank order, so the first merge that would cross a boundary would also cross it when just the
-two tokens around it are encoded). If the re-encoded window begins and ends with the tokens it began and ended with,
-all pairs inside are stable, and the pairs outside have not changed: tokens outside provably stay. Otherwise the window
-doubles, until it holds everything.
+two tokens around it are encoded). So once the first token of the re-encoded window and the token before it encode to
+themselves, and the last one and the token after it do, all pairs are stable: tokens outside provably stay. Otherwise the
+window doubles, until it holds everything.
 
 Text is cut before a blank that follows a non-blank: no match of the split pattern spans such a place, so
-there the product is plain concatenation, of leaves in one walk. Decoding concatenates up a tree. Leaves of up to 16 bytes and
-the windows are merged by the public tokenizer library; everything above them is the tree.
+there the product is plain concatenation, of leaves in one walk. Decoding concatenates up a tree. A memo per worker
+keeps the ids of short words; it saves time only.
 
-Null text counts as empty and gives no ids. Ids are packed as little-endian unsigned 32-bit integers.
+Null text counts as empty and gives no ids. Ids are packed as little-endian unsigned 32-bit integers. Repeated rows and rows
+without an id are encoded like others; other columns are carried along, but for one named like the result, which is replaced.
 """
 
 import base64
+import heapq
 import re
 import struct
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import prepare_python, documents
+from .common import claim, documents, prepare_python
 
 #: What the split pattern's \s means for the vocabulary (Unicode White_Space; Python's own \s has four more).
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters from which on a leaf of a text ends at the next cut; ids of a leaf of the decoding tree.
 TEXT_LEAF, ID_LEAF = 1 << 15, 1 << 16
-#: Bytes of a leaf of a piece's tree.
-LEAF = 16
+#: A window of up to so many bytes is merged in a list, a longer one with a heap; the rank of a pair that is no entry.
+SHORT, NEVER = 40, 1 << 62
 #: Entries that each memo of a worker may hold, and the longest keys in it.
-MEMO, MEMO_KEY = 200_000, 48
+MEMO, MEMO_KEY = 120_000, 48
 
 
 class _Memo(dict):
-    def __init__(self, compute):
-        self.compute = compute
+    def __init__(self, compute, longest: int = MEMO_KEY):
+        self.compute, self.longest = compute, longest
 
     def __missing__(self, key):
         value = self.compute(key)
-        if len(key) <= MEMO_KEY:
+        if len(key) <= self.longest:
             if len(self) >= MEMO:
                 self.clear()
             self[key] = value
         return value
 
 
-class Bpe:
-    """Encoder and decoder for a table of ranks {bytes: id} and a split pattern."""
+class Texts:
+    """Packed ids of whole texts from those of their chunks; words are kept in a memo. Encoders say what `_chunk` gives."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
-        #: Plain rank-ordered merging: leaves and windows.
-        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.bytes_of = {i: b for b, i in ranks.items()}
-        self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{BLANK}").replace(r"\S", f"[^{BLANK}]").replace(r"\s", f"[{BLANK}]"))
+    def __init__(self):
         self.cut = re.compile(f"(?<=[^{BLANK}])(?=[{BLANK}])")
         self.chunks = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
         self.blank_then_space = re.compile(f"[{BLANK}] ")
         self.plain = _Memo(self._chunk)
         self.spaced = _Memo(lambda word: self._chunk(" " + word))
 
-    # one piece -------------------------------------------------------------------------------
-
-    def piece(self, piece: bytes) -> list:
-        """Ids of one match of the split pattern."""
-        if len(piece) <= LEAF:
-            return self.merge(piece)
-        middle = len(piece) // 2
-        return self.join(self.piece(piece[:middle]), self.piece(piece[middle:]))
-
-    def join(self, left: list, right: list) -> list:
-        """Encoding of the concatenation of two encoded byte strings."""
-        if not left or not right:
-            return left or right
-        k, of = 1, self.bytes_of
-        while True:
-            a, b = left[-k:], right[:k]
-            window = self.merge(b"".join([of[i] for i in a]) + b"".join([of[i] for i in b]))
-            if (len(a) == len(left) or window[0] == a[0]) and (len(b) == len(right) or window[-1] == b[-1]):
-                return left[: len(left) - len(a)] + window + right[len(b):]
-            k *= 2
-
-    # texts -----------------------------------------------------------------------------------
-
     def _chunk(self, chunk: str) -> bytes:
-        word = chunk[1:] if chunk[:1] == " " else chunk
-        if word.isalpha():
-            ids = self.piece(chunk.encode())
-        else:
-            ids = [i for piece in self.pieces.findall(chunk) for i in self.piece(piece.encode())]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        raise NotImplementedError
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
@@ -116,6 +84,90 @@ class Bpe:
         first, *words = text.split(" ")
         return (self.plain[first] if first else b"") + b"".join(map(self.spaced.__getitem__, words))
 
+
+class Bpe(Texts):
+    """Encoder and decoder for a table of ranks {bytes: id} and a split pattern."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
+        self.ranks = ranks
+        self.bytes_of = {i: b for b, i in ranks.items()}
+        self.part = _Memo(self.piece, 6)
+        self.pairs = _Memo(lambda pair: self.merge(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]))
+        self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{BLANK}").replace(r"\S", f"[^{BLANK}]").replace(r"\s", f"[{BLANK}]"))
+
+    # one piece -------------------------------------------------------------------------------
+
+    def merge(self, data: bytes) -> list:
+        """Ids of a byte string: of all adjacent pairs the one of least rank merges, the leftmost first, until no pair has a rank."""
+        n, ranks = len(data), self.ranks
+        if n <= SHORT:
+            parts = [data[i:i + 1] for i in range(n)]
+            order = [ranks.get(data[i:i + 2], NEVER) for i in range(n - 1)]
+            while order:
+                rank = min(order)
+                if rank == NEVER:
+                    break
+                i = order.index(rank)
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+                del order[i]
+                if i:
+                    order[i - 1] = ranks.get(parts[i - 1] + parts[i], NEVER)
+                if i < len(order):
+                    order[i] = ranks.get(parts[i] + parts[i + 1], NEVER)
+            return [ranks[x] for x in parts]
+        ends = list(range(1, n + 1))  # of the part that begins there; 0 once it is merged into the one before
+        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(data[i:i + 2])) is not None]
+        heapq.heapify(heap)
+        before = list(range(-1, n - 1))
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            middle = ends[i]
+            if not middle or middle >= n or ends[middle] != end:
+                continue  # one of the two has merged since
+            ends[i], ends[middle] = end, 0
+            if end < n:
+                before[end] = i
+                if (rank := ranks.get(data[i:ends[end]])) is not None:
+                    heapq.heappush(heap, (rank, i, ends[end]))
+            if i and (rank := ranks.get(data[before[i]:end])) is not None:
+                heapq.heappush(heap, (rank, before[i], end))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[data[i:ends[i]]])
+            i = ends[i]
+        return out
+
+    def piece(self, piece: bytes) -> list:
+        """Ids of one match of the split pattern, or of a part of it (`part` is the same with a memo of short ones)."""
+        if len(piece) < 2:
+            return [self.ranks[piece]] if piece else []
+        middle = len(piece) // 2
+        return self.join(self.part[piece[:middle]], self.part[piece[middle:]])
+
+    def join(self, left: list, right: list) -> list:
+        """Encoding of the concatenation of two encoded byte strings."""
+        if not left or not right:
+            return left or right
+        k, of, pairs = 1, self.bytes_of, self.pairs
+        while True:
+            a, b = left[-k:], right[:k]
+            window = pairs[a[0], b[0]] if k == 1 else self.merge(b"".join([of[i] for i in a]) + b"".join([of[i] for i in b]))
+            if k >= len(left) or pairs[left[-k - 1], window[0]] == [left[-k - 1], window[0]]:
+                if k >= len(right) or pairs[window[-1], right[k]] == [window[-1], right[k]]:
+                    return left[:-k] + window + right[k:]
+            k *= 2
+
+    # texts -----------------------------------------------------------------------------------
+
+    def _chunk(self, chunk: str) -> bytes:
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha():
+            ids = self.part[chunk.encode()]
+        else:
+            ids = [i for piece in self.pieces.findall(chunk) for i in self.part[piece.encode()]]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def decode(self, ids: bytes) -> bytes:
         """Bytes of packed ids; an id outside the vocabulary raises KeyError."""
         if len(ids) > 4 * ID_LEAF:
@@ -144,6 +196,7 @@ class Codec:
         raw = self.raw.value
         key = hash((raw, self.pattern))
         if key not in _CODECS:
+            claim("bpe", _CODECS.clear)
             _CODECS.clear()
             _CODECS[key] = Bpe(parse_ranks(raw), self.pattern)
         return _CODECS[key]

@@ -43,6 +43,16 @@ def prepare_python(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+_MEMOS: dict[str, object] = {}
+
+
+def claim(owner: str, clear) -> None:
+    """In a task: from now on only `owner` keeps memos in this Python worker, which may have worked for other operators before."""
+    for other in [name for name in _MEMOS if name != owner]:
+        _MEMOS.pop(other)()
+    _MEMOS[owner] = clear
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -118,7 +128,7 @@ def keep_rows(df: DataFrame, found: DataFrame, id_col: str, mark: Column) -> Dat
     out = sized_join(rows, keys.drop("some"), same, "left_anti").select("row")
     mixed = keys.filter("some").drop("some")
     if not mixed.isEmpty():
-        one = F.row_number().over(Window.partitionBy("key_id", "key_mark").orderBy(F.lit(1)))
+        one = F.row_number().over(Window.partitionBy("key_id", "key_mark").orderBy(F.to_json("row")))  # ties: the whole row
         again = sized_join(rows, stage_table(mixed, "mixed"), same, "inner")
         out = out.unionByName(again.withColumn("number", one).filter("number = 1").select("row"))
     return out.select("row.*")

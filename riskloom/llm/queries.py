@@ -1,6 +1,9 @@
 """Registered queries of this package and their DuckDB twins."""
 
-from . import bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, permutation_index, pii, secret_scan, signature_join
+from . import (
+    bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, packing, permutation_index, pii, secret_scan, signature_join, spelling,
+    token_alignment,
+)
 
 QUERIES = {
     "op1_byte_bpe": bpe.bpe_round_trip,
@@ -13,6 +16,9 @@ QUERIES = {
     "op8_jaccard_join": signature_join.jaccard_join,
     "op9_language_id": language_id.language_id,
     "op10_permutation_index": permutation_index.permutation_search,
+    "op11_spelling_variants": spelling.spelling_variants,
+    "op12_best_fit_packing": packing.best_fit_packing,
+    "op13_tokenizer_alignment": token_alignment.tokenizer_alignment,
 }
 ORACLES = {
     "op4_line_dedup": line_dedup.LINE_DEDUP_SQL,
