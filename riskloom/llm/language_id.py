@@ -19,7 +19,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import documents, id_and_text, map_batches
+from .common import claim, documents, id_and_text, map_batches
 
 #: Labelled rows per language to learn from (an expectation: a hash decides), hash buckets of trigrams, cost of a switch.
 SAMPLE, BUCKETS, PENALTY = 1500, 1 << 15, 12.0
@@ -111,6 +111,7 @@ class Model:
         """Per text (language, score, spans of (language, first word, end))."""
         if not self.languages:
             return [("und", 0.0, []) for _ in texts]
+        claim("language_id", self.reset)
         numbers = self.words
         if len(numbers) > MEMO_WORDS or self.chars > MEMO_CHARS:
             self.reset()
