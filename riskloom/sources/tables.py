@@ -11,7 +11,7 @@ def require_columns(df: DataFrame, columns) -> DataFrame:
     """Raise ValueError, before any job runs, if a column is missing."""
     missing = sorted(set(columns) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing columns: {missing}")
+        raise ValueError(f"the table lacks {', '.join(missing)}; it has {', '.join(df.columns) or 'no columns'}")
     return df
 
 
