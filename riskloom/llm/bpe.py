@@ -35,7 +35,7 @@ TEXT_LEAF, ID_LEAF = 1 << 15, 1 << 16
 #: A window of up to so many bytes is merged in a list, a longer one with a heap; the rank of a pair that is no entry.
 SHORT, NEVER = 40, 1 << 62
 #: Entries that each memo of a worker may hold, and the longest keys in it.
-MEMO, MEMO_KEY = 120_000, 48
+MEMO, MEMO_KEY = 80_000, 48
 
 
 class _Memo(dict):
@@ -85,6 +85,21 @@ class Texts:
         return (self.plain[first] if first else b"") + b"".join(map(self.spaced.__getitem__, words))
 
 
+class _Pairs(dict):
+    """Encoding of two tokens' bytes, by a << 32 | b; empty if they encode to themselves."""
+
+    def __init__(self, bpe):
+        self.bpe = bpe
+
+    def __missing__(self, key):
+        if len(self) >= MEMO:
+            self.clear()
+        a, b = key >> 32, key & 0xFFFFFFFF
+        ids = tuple(self.bpe.merge(self.bpe.bytes_of[a] + self.bpe.bytes_of[b]))
+        self[key] = ids = () if ids == (a, b) else ids
+        return ids
+
+
 class Bpe(Texts):
     """Encoder and decoder for a table of ranks {bytes: id} and a split pattern."""
 
@@ -93,7 +108,7 @@ class Bpe(Texts):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.part = _Memo(self.piece, 6)
-        self.pairs = _Memo(lambda pair: self.merge(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]))
+        self.pairs = _Pairs(self)
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{BLANK}").replace(r"\S", f"[^{BLANK}]").replace(r"\s", f"[{BLANK}]"))
 
     # one piece -------------------------------------------------------------------------------
@@ -149,14 +164,17 @@ class Bpe(Texts):
         """Encoding of the concatenation of two encoded byte strings."""
         if not left or not right:
             return left or right
-        k, of, pairs = 1, self.bytes_of, self.pairs
+        of, pairs = self.bytes_of, self.pairs
+        window = pairs[left[-1] << 32 | right[0]]
+        if not window:
+            return left + right
+        k = 1
         while True:
-            a, b = left[-k:], right[:k]
-            window = pairs[a[0], b[0]] if k == 1 else self.merge(b"".join([of[i] for i in a]) + b"".join([of[i] for i in b]))
-            if k >= len(left) or pairs[left[-k - 1], window[0]] == [left[-k - 1], window[0]]:
-                if k >= len(right) or pairs[window[-1], right[k]] == [window[-1], right[k]]:
-                    return left[:-k] + window + right[k:]
+            if k >= len(left) or not pairs[left[-k - 1] << 32 | window[0]]:
+                if k >= len(right) or not pairs[window[-1] << 32 | right[k]]:
+                    return [*left[:-k], *window, *right[k:]]
             k *= 2
+            window = self.merge(b"".join([of[i] for i in left[-k:]]) + b"".join([of[i] for i in right[:k]]))
 
     # texts -----------------------------------------------------------------------------------
 
@@ -234,10 +252,24 @@ def decode_ids(df: DataFrame, codec: Codec, ids_col: str = "ids", out: str = "de
     return _with_binary(df, ids_col, out, lambda column: [None if x is None else codec.get().decode(x) for x in column.to_pylist()])
 
 
+def round_trip(df: DataFrame, codec: Codec, text_col: str = "text") -> DataFrame:
+    """df without the text, with its packed `ids` and the bytes `decoded` from them: both in one pass, by one Python worker."""
+    prepare_python(df.sparkSession)
+    schema = df.drop("ids", "decoded", text_col).withColumns({c: F.lit(None).cast("binary") for c in ("ids", "decoded")}).schema
+
+    def run(batches):
+        for batch in batches:
+            ids = [codec.get().encode(x or "") for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            decoded = pa.array([codec.get().decode(x) for x in ids], pa.binary())
+            batch = batch.drop_columns([c for c in ("ids", "decoded", text_col) if c in batch.schema.names])
+            yield batch.append_column(pa.field("ids", pa.binary()), pa.array(ids, pa.binary())).append_column(pa.field("decoded", pa.binary()), decoded)
+
+    return df.mapInArrow(run, schema)
+
+
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op1."""
-    codec = default_codec(spark)
-    coded = decode_ids(encode_texts(documents(spark, sf_dir).select("doc_id", "text"), codec).drop("text"), codec)
+    coded = round_trip(documents(spark, sf_dir).select("doc_id", "text"), default_codec(spark))
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
