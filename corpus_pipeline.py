@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, folder of the tables) and returns a DataFrame that is written as Parquet and read again as
 the next stage's docs. All but the last return the columns of documents.
+
+Null and empty texts have no language and go in the first stage; repeated rows and ties are settled by exact dedup (largest id,
+then the order of the whole row), null ids count as one id; empty tables stay empty through all stages.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,8 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the packed ids of the whole text, their number, and the digest of what they decode to."""
-    codec = bpe.default_codec(spark)
-    coded = bpe.decode_ids(bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), codec).drop("text"), codec)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), bpe.default_codec(spark))
     return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
