@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import MAX_DF, MIN_DF, NGRAM_MAX, NGRAM_MIN
 from ..functions.text import collapse_whitespace
-from ..sources.staging import stage_table
+from ..sources.staging import checkpoint, stage_table
 from .joins import lookup_join
 from .sampling import RANK_ROWS, cutoff_keys
 
@@ -134,6 +134,52 @@ class TfidfModel:
         return rows.withColumn("n_features", F.lit(self.vocabulary.count()).cast("bigint"))
 
 
+def numbered(vocabulary: DataFrame) -> DataFrame:
+    """vocabulary with `position`: 0, 1, ... by falling total, then by gram. Staged.
+
+    Rows are sorted over range partitions and numbered inside each; a partition's first number is the count of those
+    before it, a table with one row per partition. Nothing but that passes one task, and nothing the driver.
+    """
+    order = [F.desc("total"), F.asc("gram")]
+    tasks = max(1, int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = vocabulary.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    rows = stage_table(rows.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    found = rows.withColumn("part", part).join(F.broadcast(checkpoint(starts)), "part")
+    return stage_table(found.withColumn("position", F.col("start") + place).drop("__at", "part", "start"), "vocabulary")
+
+
+def term_arrays(df: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame, n_min: int = NGRAM_MIN, n_max: int = NGRAM_MAX,
+                size: int = None) -> DataFrame:
+    """(id, indices, values): the normalised TF-IDF row of each text as arrays ordered by position; texts without a known gram have none.
+
+    `vocabulary` has (gram, df, idf, position). The arrays of a row are as long as its text has known grams.
+    """
+    terms = char_terms(df, id_col, text_col, n_min, n_max)
+    known = lookup_join(terms, vocabulary.select("gram", "df", "idf", "position"), "gram", weight="df", size=size)
+    weight = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+    entry = F.struct(F.col("position").cast("int").alias("i"), weight.alias("v"))
+    rows = known.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("e"), F.sqrt(F.sum(weight * weight)).alias("norm"))
+    return rows.select("id", F.col("e.i").alias("indices"), F.transform("e.v", lambda v: v / F.col("norm")).alias("values"))
+
+
+def term_scores(df: DataFrame, id_col: str, text_col: str, weights: DataFrame, classes: int, n_min: int = NGRAM_MIN,
+                n_max: int = NGRAM_MAX, size: int = None) -> DataFrame:
+    """(id, scores): per class the product of a text's TF-IDF row with the weights (gram, df, idf, weights) of a linear model.
+
+    Neither vectors nor a dictionary are built: terms meet the weights in a join and are summed per text.
+    """
+    terms = char_terms(df, id_col, text_col, n_min, n_max)
+    known = lookup_join(terms, weights.select("gram", "df", "idf", "weights"), "gram", weight="df", size=size)
+    value = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+    sums = [F.sum(value * F.col("weights")[k]).alias(f"s{k}") for k in range(classes)]
+    rows = known.groupBy("id").agg(F.sqrt(F.sum(value * value)).alias("norm"), *sums)
+    return rows.select("id", F.array(*[F.col(f"s{k}") / F.col("norm") for k in range(classes)]).alias("scores"))
+
+
 def fit_tfidf(df: DataFrame, id_col: str, text_col: str, max_features=None, min_df: int = MIN_DF,
               max_df: float = MAX_DF, n_min: int = NGRAM_MIN, n_max: int = NGRAM_MAX,
               rank_rows: int = RANK_ROWS) -> TfidfModel:

@@ -1,13 +1,16 @@
 """Training: lexical forest, TF-IDF classifier, hybrid classifiers and their ablations."""
 
 import time
+import uuid
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,15 +22,17 @@ from ..functions.groups import combine, domain_group, lexical_group
 from ..operators.metrics import best_experiment, classification_report, confusion_matrix, pair_counts, summary_metrics
 from ..operators.sampling import stratified_split
 from ..operators.scaling import class_weights, fit_standardizer, with_class_weights
-from ..operators.tfidf import TfidfModel, fit_tfidf, measure
-from ..sources.sinks import load_model, save_model, write_table
+from ..operators.joins import lookup_bytes
+from ..operators.tfidf import TfidfModel, fit_tfidf, measure, numbered, term_arrays
+from ..sources.sinks import promote, save_model, write_table
 from ..sources.staging import new_path, stage_table
 from .stages import (
-    DOM, LEX, AppendColumns, CharGrams, DomainFeatures, LexicalFeatures, ScoreLabels, Standardize, SublinearCounts,
-    UrlNormalizer,
+    DOM, LEX, DomainFeatures, LabelScores, LexicalFeatures, ScoreLabels, Standardize, TermScores, TermVectors, TextKey, UrlNormalizer,
+    sparse_struct, stage_vectors,
 )
 
-ROWS_PER_TASK = 1000
+#: Non-zero entries that a task of a solver's pass is worth at least, also per weight: each task returns a gradient as long as the weights.
+ENTRIES_PER_TASK, ENTRIES_PER_WEIGHT = 4_000_000, 4
 
 
 @dataclass
@@ -140,27 +145,38 @@ def feature_importance(spark, forest, columns, top: int = 20) -> DataFrame:
     return df.orderBy(F.desc("importance"), "feature").limit(top)
 
 
+@dataclass
+class NumberedVocabulary:
+    """A fitted vocabulary with positions, as a table, and what is known about it."""
+
+    table: DataFrame
+    path: str
+    size: int
+    bytes: int
+
+    @classmethod
+    def of(cls, tfidf: TfidfModel):
+        spark = tfidf.vocabulary.sparkSession
+        path = write_table(numbered(tfidf.vocabulary), new_path(spark, "positions"), "parquet")
+        table = spark.read.parquet(path)
+        size = table.count()
+        if not size:
+            raise ValueError("no gram is left after the document-frequency limits")
+        if size >= (1 << 31) - 1024:
+            raise ValueError("a vector has at most 2^31 entries: give max_features")
+        return cls(table, path, size, lookup_bytes(table, "gram"))
+
+
 def text_stages(tfidf: TfidfModel, text: str = "url") -> list:
-    """The fitted vocabulary as vector stages, ending in the column `tfidf__`.
+    """The fitted vocabulary as vector stages, ending in the column `tfidf__`; positions are by falling total, then by gram.
 
-    A classifier's weights are vectors over the vocabulary, so that much must fit on one machine; positions are by falling total,
-    then by gram. `TfidfModel.transform` is the table form, for vocabularies of any size.
+    The vocabulary stays a table, which terms are joined with, so it is never held by the driver or by one task.
     """
-    grams = tfidf.vocabulary.select("gram", "idf", "total").toPandas().sort_values(["total", "gram"], ascending=[False, True])
-    if grams.empty:
-        raise ValueError("no gram is left after the document-frequency limits")
-    counts = CountVectorizerModel.from_vocabulary(grams["gram"].tolist(), inputCol="grams__", outputCol="counts__")
-    scaling = Vectors.dense(grams["idf"].to_numpy())
-    return [
-        CharGrams(inputCol=text, outputCol="grams__", nMin=tfidf.n_min, nMax=tfidf.n_max),
-        counts,
-        SublinearCounts(inputCol="counts__", outputCol="tf__"),
-        ElementwiseProduct(scalingVec=scaling, inputCol="tf__", outputCol="scaled__"),
-        Normalizer(p=2.0, inputCol="scaled__", outputCol="tfidf__"),
-    ]
+    own = NumberedVocabulary.of(tfidf)
+    return [TextKey(inputCol=text), TermVectors(inputCol=text, path=own.path, bytes=float(own.bytes), size=own.size, nMin=tfidf.n_min, nMax=tfidf.n_max)]
 
 
-TEXT_WORK = ["grams__", "counts__", "tf__", "scaled__", "tfidf__"]
+TEXT_WORK = ["text_key__", "tfidf__"]
 
 
 def fit_logistic(train: DataFrame, label: str, features: str, c: float = LOGISTIC_C,
@@ -176,8 +192,11 @@ def fit_logistic(train: DataFrame, label: str, features: str, c: float = LOGISTI
         raise ValueError("a classifier needs at least 2 classes")
     stats = {r[label]: (r["n"], r["weight"]) for r in class_weights(train, label).collect()}
     total = sum(n for n, _ in stats.values())
-    # Each iteration is a job; small tables are not worth many tasks. Large ones stay as they are.
-    tasks = max(1, -(-total // ROWS_PER_TASK))
+    # Each iteration is a job whose tasks return a gradient each: they are sized by the measured entries, not by rows.
+    parts = F.unwrap_udt(features)
+    entries = train.agg(F.sum(F.coalesce(F.size(parts["indices"]), F.size(parts["values"]))), F.max(parts["size"])).first()
+    width = entries[1] or 0
+    tasks = max(1, -(-(entries[0] or 0) // max(ENTRIES_PER_TASK, ENTRIES_PER_WEIGHT * width)))
 
     def fit(position, name):
         n, weight = stats[name]
@@ -185,8 +204,12 @@ def fit_logistic(train: DataFrame, label: str, features: str, c: float = LOGISTI
         is_it = F.col(label) == name
         rows = train.select(
             features, is_it.cast("double").alias("y"), F.when(is_it, weight).otherwise(other_weight).alias("w")
-        ).coalesce(tasks)
+        )
         weight_sum = n * weight + other_n * other_weight
+        # Spark leaves a column without variance out, so the constant would get no weight. A row of zeros has score 0 whatever the
+        # weights are: it adds a fixed loss and no gradient, but gives the constant a variance. It doubles the sum of weights.
+        nothing = train.sparkSession.createDataFrame([(Vectors.sparse(width, []), 0.0, weight_sum)], rows.schema)
+        rows, weight_sum = rows.unionByName(nothing).coalesce(tasks), 2 * weight_sum
         return LogisticRegression(
             featuresCol=features, labelCol="y", weightCol="w", standardization=False, fitIntercept=False,
             regParam=1.0 / (c * weight_sum), maxIter=max_iter, tol=tolerance, family="binomial",
@@ -199,10 +222,14 @@ def fit_logistic(train: DataFrame, label: str, features: str, c: float = LOGISTI
         return pool.starmap(run, list(enumerate(positives)))
 
 
-def _classifier_stages(assemble, labels, models, work) -> list:
-    vectors = [f"p__{i}" for i in range(len(models))]
-    extra = [f"{kind}__{i}" for kind in ("raw", "p", "hit") for i in range(len(models))]
-    return [*assemble, *models, ScoreLabels(labels=labels, vectors=vectors, drop=work + extra)]
+def _weights(vocabulary: NumberedVocabulary, models: list, path: str) -> tuple[str, list]:
+    """Write (gram, df, idf, weights) at `path`; (path, the other weights class by class). The weight vectors are all that the driver holds."""
+    spark, own = vocabulary.table.sparkSession, [m.coefficients.toArray() for m in models]
+    columns = {f"w{k}": own[k][:vocabulary.size] for k in range(len(own))}
+    rows = pa.table({"position": np.arange(vocabulary.size, dtype=np.int64), **columns})
+    table = spark.createDataFrame(rows).select("position", F.array(*columns).alias("weights"))
+    write_table(vocabulary.table.join(table, "position").select("gram", "df", "idf", "weights"), path, "parquet")
+    return path, [float(w) for x in own for w in x[vocabulary.size:]]
 
 
 def run_ablation(df: DataFrame, experiments, label: str = "type", url: str = "url", key: str = None,
@@ -230,31 +257,38 @@ def run_ablation(df: DataFrame, experiments, label: str = "type", url: str = "ur
     for stage in base:
         texts = stage.transform(texts)
     tfidf = fit_tfidf(texts.filter("split = 'train'"), key, url, max_features, n_min=n_min, n_max=n_max)
-    text = text_stages(tfidf, url)
+    vocabulary = NumberedVocabulary.of(tfidf)
     lex = [LexicalFeatures(inputCol=url, columns=lexical)] if lexical else []
     dom = [DomainFeatures(inputCol=url, columns=domain, rulesPath=rules_path)] if domain else []
 
-    # Vectors are far larger than texts: spread the rows by the measured text, not by file size.
-    prepared = split.repartition(measure(split, url)[1], key)
-    for stage in [*base, *text, *lex, *dom]:
+    # Arrays are far larger than texts: the terms are spread by the measured text, and stay so.
+    arrays = term_arrays(texts, key, url, vocabulary.table, n_min, n_max, vocabulary.bytes)
+    prepared = texts
+    for stage in [*lex, *dom]:
         prepared = stage.transform(prepared)
-    prepared = stage_table(prepared.drop(*TEXT_WORK[:-1]), "features")
+    prepared = prepared.join(arrays.withColumnRenamed("id", key), key, "left").withColumns({
+        "indices": F.coalesce("indices", F.array().cast("array<int>")), "values": F.coalesce("values", F.array().cast("array<double>"))})
+    prepared = stage_table(prepared, "features")
     train = prepared.filter("split = 'train'")
     labels = _labels(train, label)
 
     results = {}
     for experiment in experiments:
-        columns = experiment.columns
-        assemble = []
+        columns, scaling = experiment.columns, []
         if columns:
             fitted = fit_standardizer(train, columns)
-            assemble.append(Standardize(columns=columns, means=fitted.means, deviations=fitted.deviations))
-        assemble.append(AppendColumns(inputCol="tfidf__", outputCol="features__", columns=columns))
-        vectors = train
-        for stage in assemble:
+            scaling = [Standardize(columns=columns, means=fitted.means, deviations=fitted.deviations)]
+        vectors = prepared
+        for stage in scaling:
             vectors = stage.transform(vectors)
+        # The row's entries, then its number columns and a constant 1 for a penalised intercept; written once for all classes.
+        added = [F.col(c).cast("double") for c in columns] + [F.lit(1.0)]
+        indices = F.concat("indices", F.array(*[F.lit(vocabulary.size + i) for i in range(len(added))]))
+        vector = sparse_struct(F.lit(vocabulary.size + len(added)), indices, F.concat("values", F.array(*added)))
+        kept = [c for c in prepared.columns if c not in ("indices", "values")]
+        vectors = stage_vectors(vectors.select(*kept, vector.alias("features__")), "vectors", "features__")
         start = time.monotonic()
-        models = fit_logistic(vectors.select(label, "features__"), label, "features__", max_iter=max_iter)
+        models = fit_logistic(vectors.filter("split = 'train'").select(label, "features__"), label, "features__", max_iter=max_iter)
         elapsed = time.monotonic() - start
         own_lex = [c[len(LEX):] for c in columns if c.startswith(LEX)]
         own_dom = [c[len(DOM):] for c in columns if c.startswith(DOM)]
@@ -263,10 +297,15 @@ def run_ablation(df: DataFrame, experiments, label: str = "type", url: str = "ur
             features.append(LexicalFeatures(inputCol=url, columns=own_lex))
         if own_dom:
             features.append(DomainFeatures(inputCol=url, columns=own_dom, rulesPath=rules_path))
-        tail = _classifier_stages(assemble, labels, models, TEXT_WORK + columns + ["features__"])
-        model = PipelineModel([*base, *text, *features, *tail])
-        # The prepared vectors are those that the full pipeline computes; test on them.
-        scored = PipelineModel(tail).transform(prepared.filter("split = 'test'"))
+        name = f"weights-{experiment.name}"
+        path, dense = _weights(vocabulary, models, f"{save_to}/{name}-{uuid.uuid4().hex}" if save_to else new_path(df.sparkSession, name))
+        scores = TermScores(inputCol=url, path=path, bytes=float(vocabulary.bytes + 8 * len(models) * vocabulary.size), columns=columns,
+                            dense=dense, classes=len(models), nMin=n_min, nMax=n_max)
+        model = PipelineModel([*base, TextKey(inputCol=url), *features, *scaling, scores, LabelScores(labels=labels, drop=columns)])
+        # The staged vectors hold what the full pipeline computes; test on them.
+        work = [f"{kind}__{i}" for kind in ("raw", "p", "hit") for i in range(len(models))]
+        tail = [*models, ScoreLabels(labels=labels, vectors=[f"p__{i}" for i in range(len(models))], drop=work + columns + ["features__"])]
+        scored = PipelineModel(tail).transform(vectors.filter("split = 'test'"))
         pairs = stage_table(pair_counts(scored, label, "prediction"), "pairs")
         results[experiment.name] = FitResult(
             model, summary_metrics(pairs), classification_report(pairs), confusion_matrix(pairs), scored, elapsed
@@ -299,9 +338,9 @@ def ablation_table(spark, results: dict) -> DataFrame:
 
 
 def promote_best(table: DataFrame, root: str, exclude=("tfidf_only",)):
-    """Save the best hybrid variant as `default`; its name, or None if there is no hybrid."""
+    """Make the best hybrid variant the `default` one; its name, or None if there is no hybrid."""
     best = best_experiment(table, exclude).first()
     if best is None:
         return None
-    save_model(load_model(root, best["experiment"]), root)
+    promote(table.sparkSession, root, best["experiment"])
     return best["experiment"]

@@ -13,6 +13,15 @@ SPECIAL_RULES = RULES + [("123", "normal")]
 LONG_DOMAIN = "abcdefghijklmnopqrstuvwxyz0123456789.com"
 
 
+#: A forest of two trees over lexical features: (tree, node, feature, threshold, left node, right node, class shares).
+GIVEN_FOREST = [
+    (0, 0, "url_length", 60.0, 1, 2, [0.5, 0.5]), (0, 1, "num_digits", 2.0, 3, 4, [0.6, 0.4]), (0, 2, None, None, None, None, [0.1, 0.9]),
+    (0, 3, None, None, None, None, [0.8, 0.2]), (0, 4, None, None, None, None, [0.3, 0.7]),
+    (1, 0, "path_length", 20.0, 1, 2, [0.5, 0.5]), (1, 1, None, None, None, None, [0.75, 0.25]), (1, 2, "query_length", 0.0, 3, 4, [0.2, 0.8]),
+    (1, 3, None, None, None, None, [0.4, 0.6]), (1, 4, None, None, None, None, [0.05, 0.95]),
+]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,3 +93,17 @@ def rule_predictions(spark, sf_dir) -> DataFrame:
         .otherwise("en")
     )
     return labelled_pages(spark, sf_dir).select("row_id", F.col("type").alias("actual"), guess.alias("predicted"))
+
+
+def padded_pages(spark, sf_dir) -> DataFrame:
+    """(row_id, url, type): each page URL with a query of 0 to 60 hash digits more. The class says whether the padded URL is
+    longer than 85 characters, but for one row in 32, where it says the opposite: it is a noisy function of a lexical feature,
+    and no text in the URL names it."""
+    digits = F.concat(F.md5(F.concat(F.lit("a"), F.col("page_id"))), F.md5(F.concat(F.lit("b"), F.col("page_id"))))
+    hashed = F.md5(F.concat(F.lit("c"), F.col("page_id")))
+    length = (F.conv(F.substring(hashed, 1, 4), 16, 10).cast("long") % 61).cast("int")
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", F.concat("url", F.when(F.contains("url", F.lit("?")), "&p=").otherwise("?p="), F.substring(digits, F.lit(1), length)).alias("url"),
+        (F.conv(F.substring(hashed, 5, 4), 16, 10).cast("long") % 32 == 0).alias("flipped"))
+    long = F.col("flipped") != (F.length("url") > 85)
+    return pages.select(F.col("page_id").alias("row_id"), "url", F.when(long, "long").otherwise("short").alias("type"))

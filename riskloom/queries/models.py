@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import stratified_sample
 from ..plans.scoring import ranked_probabilities, score
+from ..plans.proofs import forest_nodes, forest_path, forest_probabilities, importances, optimality
 from ..plans.training import (
-    DOMAIN_EXPERIMENTS, LEXICAL_EXPERIMENTS, ablation_table, evaluate, fit_hybrid, fit_lexical, fit_text,
+    DOMAIN_EXPERIMENTS, LEXICAL_EXPERIMENTS, _with_split, ablation_table, evaluate, fit_hybrid, fit_lexical, fit_text,
     promote_best, run_ablation,
 )
+from ..functions.constants import LEXICAL_FEATURES
+from ..functions.lexical import with_lexical_features
 from ..operators.metrics import summary_metrics
 from ..sources.sinks import load_model, save_model
-from ..sources.staging import new_path
+from ..sources.staging import new_path, stage_table
 from ..streaming.scoring import read_url_stream, score_stream, write_stream
-from .inputs import labelled_pages, rules, table
+from .inputs import GIVEN_FOREST, labelled_pages, padded_pages, rules, table
+
+#: Text alone, text with lengths, text with suspicious words.
+LEARNED_EXPERIMENTS = [LEXICAL_EXPERIMENTS[i] for i in (0, 1, 3)]
 
 
 def _forest(spark, sf):
@@ -108,7 +114,7 @@ def stream_scores(spark, sf):
     stream = read_url_stream(spark, f"{sf}/page[s].parquet", schema).select("page_id", "url")
     out = new_path(spark, "stream")
     write_stream(score_stream(model, stream), out, new_path(spark, "stream-checkpoint"), available_now=True).awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")
 
 
 def text_predictions_checked(spark, sf):
@@ -145,8 +151,66 @@ def forest_checked(spark, sf):
         (first == F.first("prediction")).alias("agrees"))
 
 
+def certificate_checked(spark, sf):
+    """Per class of the hybrid model: is its objective, by the gradient at the saved weights, within 0.5 % of the least one?"""
+    pages = _with_split(labelled_pages(spark, sf), "type", "row_id")
+    model = fit_hybrid(pages, LEXICAL_EXPERIMENTS[-1], key="row_id").model
+    found = optimality(model, pages.filter("split = 'train'"), "row_id", "type")
+    return found.select("class", (F.col("gap") <= 0.005 * F.col("objective")).alias("optimal"))
+
+
+#: Trees of the forests that are compared with their node tables.
+TABLE_TREES = 40
+
+
+def _saved_forest(spark, sf):
+    """(fitted result, folder of its saved forest)."""
+    result = fit_lexical(padded_pages(spark, sf), key="row_id", trees=TABLE_TREES)
+    return result, forest_path(result.model, save_model(result.model, new_path(spark, "models")))
+
+
+def forest_importance_checked(spark, sf):
+    """Per lexical feature: its rank among those that the node table of a saved forest uses first, and whether its importance by that table is the model's."""
+    result, path = _saved_forest(spark, sf)
+    forest = next(s for s in result.model.stages if hasattr(s, "featureImportances"))
+    own = spark.createDataFrame(list(zip(LEXICAL_FEATURES, map(float, forest.featureImportances.toArray()))), "feature string, own double")
+    both = own.join(importances(forest_nodes(spark, path, LEXICAL_FEATURES)), "feature", "left")
+    value = F.coalesce("importance", F.lit(0.0))
+    top = both.agg(F.max_by("feature", "importance").alias("top"))
+    return both.join(F.broadcast(top)).select("feature", (F.abs(value - F.col("own")) < 1e-9).alias("agrees"), (F.col("feature") == F.col("top")).alias("most"))
+
+
+def forest_walk_checked(spark, sf):
+    """Per page: do the class shares of a walk down the node table of a saved forest equal the loaded model's probabilities?"""
+    result, path = _saved_forest(spark, sf)
+    pages = padded_pages(spark, sf)
+    nodes = forest_nodes(spark, path, LEXICAL_FEATURES)
+    walked = forest_probabilities(with_lexical_features(pages, "url", list(LEXICAL_FEATURES)), "row_id", nodes)
+    model = score(load_model(path.split("/variant=")[0]), pages).select("row_id", F.map_values("probabilities").alias("own"))
+    apart = F.aggregate(F.zip_with("shares", "own", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    return pages.select("row_id").join(walked, "row_id", "left").join(model, "row_id", "left").select("row_id", F.coalesce(apart < 1e-9, F.lit(False)).alias("agrees"))
+
+
+def forest_given_checked(spark, sf):
+    """Every page's class shares by a walk down a forest whose splits are given."""
+    features = with_lexical_features(table(spark, sf, "pages").select(F.col("page_id").alias("row_id"), "url"), "url", list(LEXICAL_FEATURES))
+    nodes = spark.createDataFrame(GIVEN_FOREST, "tree int, node int, feature string, threshold double, left_node int, right_node int, shares array<double>")
+    walked = forest_probabilities(features, "row_id", nodes)
+    return walked.select("row_id", *[F.round(F.col("shares")[k], 6).alias(f"share_{k}") for k in range(2)])
+
+
+def learned_checked(spark, sf):
+    """Feature sets on a class that must be learned from the URL's length: which of them reach 90 % of the test rows, beside how many rows are `long`."""
+    pages = stage_table(padded_pages(spark, sf), "padded")
+    n_long = pages.filter("type = 'long'").count()
+    results = run_ablation(pages, LEARNED_EXPERIMENTS, key="row_id")
+    results["forest"] = fit_lexical(pages, key="row_id", trees=TABLE_TREES)
+    return ablation_table(spark, results).select("experiment", F.lit(n_long).alias("n_long"), (F.col("accuracy") >= 0.9).alias("learned"))
+
+
 QUERIES = {f.__name__: f for f in (
     forest_metrics, forest_importance, forest_scores, forest_reevaluation, text_metrics, text_binary_metrics,
     text_scores, hybrid_scores, hybrid_ranked_probabilities, ablation_lexical, ablation_domain, stream_scores,
-    text_predictions_checked, stream_predictions_checked, ablation_checked, forest_checked,
+    text_predictions_checked, stream_predictions_checked, ablation_checked, forest_checked, certificate_checked,
+    forest_importance_checked, forest_walk_checked, forest_given_checked, learned_checked,
 )}

@@ -75,6 +75,13 @@ special AS (
 )"""
 
 
+PADDED = """hashed AS (SELECT page_id, url, md5('a' || page_id) || md5('b' || page_id) AS digits, md5('c' || page_id) AS h FROM pages),
+padded AS (
+  SELECT page_id AS row_id, url || CASE WHEN contains(url, '?') THEN '&p=' ELSE '?p=' END
+         || substr(digits, 1, (('0x' || substr(h, 1, 4))::BIGINT % 61)::INT) AS url, ('0x' || substr(h, 5, 4))::BIGINT % 32 = 0 AS flipped FROM hashed
+)"""
+
+
 def parts(source):
     """CTE `parts`: the columns of `source` plus URL parts."""
     pattern = r"(?s)^(https?)://([^/?#]*)([^?#]*)(\?([^#]*))?(#(.*))?$"
@@ -415,4 +422,13 @@ ORACLES = {
     "GROUP BY type, experiment",
     "forest_checked": f"WITH {PAGES}, k AS (SELECT count(DISTINCT type) AS n FROM labelled) "
     "SELECT row_id, type, n AS n_classes, n::INT AS last_rank, 1.0::DOUBLE AS total, true AS agrees FROM labelled, k",
+    "certificate_checked": f"WITH {PAGES} SELECT DISTINCT type AS class, true AS optimal FROM labelled",
+    "forest_importance_checked": f"SELECT unnest([{quoted(LEXICAL_FEATURES)}]) AS feature, true AS agrees, feature = 'url_length' AS most",
+    "forest_walk_checked": "SELECT page_id AS row_id, true AS agrees FROM pages",
+    "forest_given_checked": f"""{LEXICAL}, f AS (SELECT page_id AS row_id, {lexical_list()} FROM hosts),
+first AS (SELECT row_id, CASE WHEN url_length > 60 THEN 0.1 WHEN num_digits <= 2 THEN 0.8 ELSE 0.3 END AS a,
+  CASE WHEN path_length <= 20 THEN 0.75 WHEN query_length <= 0 THEN 0.4 ELSE 0.05 END AS b FROM f)
+SELECT row_id, round(((a + b) / 2)::DOUBLE, 6) AS share_0, round((1 - (a + b) / 2)::DOUBLE, 6) AS share_1 FROM first""",
+    "learned_checked": f"""WITH {PADDED} SELECT experiment, (SELECT count(*) FROM padded WHERE flipped <> (length(url) > 85)) AS n_long,
+experiment IN ('tfidf_length', 'forest') AS learned FROM (SELECT unnest(['tfidf_only', 'tfidf_length', 'tfidf_suspicious', 'forest']) AS experiment)""",
 }
