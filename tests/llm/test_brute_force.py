@@ -15,7 +15,6 @@ import tiktoken
 
 import corpus_pipeline
 from riskloom.llm import bpe, language_id, mixing, signature_join
-from riskloom.queries import models
 
 SF = "/root/testdata/sf0.001"
 
@@ -154,22 +153,3 @@ def test_pipeline_of_all_rows(spark, planted):
         expected[r["doc_id"], r["lang"], r["source"], len(ids) // 4, ids] += times[r["doc_id"]]
     got = Counter((r["doc_id"], r["lang"], r["source"], r["n_tokens"], bytes(r["ids"])) for r in corpus_pipeline.run(spark, folder).collect())
     assert got == +expected and 0 < len(rows) < len(main)
-
-
-def test_stream_is_scored_by_the_loaded_model(spark, monkeypatch):
-    saved, scored = [], []
-
-    class Done(Exception):
-        pass
-
-    def stop(model, stream):
-        scored.append(model)
-        raise Done
-
-    monkeypatch.setattr(models, "_hybrid", lambda spark, sf: type("Result", (), {"model": "fitted"}))
-    monkeypatch.setattr(models, "save_model", lambda model, root, variant: saved.append((model, root, variant)))
-    monkeypatch.setattr(models, "load_model", lambda root, variant: ("loaded", root, variant))
-    monkeypatch.setattr(models, "score_stream", stop)
-    with pytest.raises(Done):
-        models.stream_scores(spark, SF)
-    assert [("loaded", *x[1:]) for x in saved] == scored and saved[0][0] == "fitted"
