@@ -104,6 +104,20 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BRO
     return left.join(F.broadcast(right) if table_bytes(right) <= limit else right, on, how)
 
 
+def run_before(text: str, end: int, least: int, pattern) -> int:
+    """Start of the run of characters before `end` that `pattern`, a class repeated, takes; not before `least`.
+
+    The window doubles, so a run costs as much as it is long, whatever precedes it.
+    """
+    width = 64
+    while True:
+        start = max(least, end - width)
+        n = pattern.match(text[start:end][::-1]).end()
+        if n < end - start or start == least:
+            return end - n
+        width *= 2
+
+
 def salt_of(*cols, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 

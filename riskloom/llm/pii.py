@@ -21,12 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import arrow_schema, documents, id_and_text, map_batches, prepare_python, sized_join, stage_table
+from .common import arrow_schema, documents, id_and_text, map_batches, prepare_python, run_before, sized_join, stage_table
 from .secret_scan import count_kind
 
 #: Fixed by the contract.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: The contract's pattern, tried once per run of digits: where it fails at a run's first digit, it fails at the others too.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ["email", "ip", "card", "phone"]
@@ -35,7 +36,7 @@ SUPPORT, REMOVE, GENERALISE = 3, 1.0 - 1e-9, 0.9
 
 _DIGIT = re.compile("[0-9]")
 _RUN, _LETTERS = regex.compile(r"[\p{L}\p{Nd}]+"), regex.compile(r"\p{L}{2,}")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
 
 
 def luhn(digits: str) -> bool:
@@ -55,9 +56,7 @@ def emails(text: str):
     """Leftmost non-overlapping matches, tried only at the runs that end in an @."""
     at, end = text.find("@"), 0
     while at >= 0:
-        start = at - len(_LOCAL.search(text[max(end, at - 4096):at])[0])
-        if start == at - 4096:  # a very long run: take it up to the end of the last match
-            start = at - len(_LOCAL.search(text[end:at])[0])
+        start = run_before(text, at, end, _LOCAL)
         m = EMAIL.match(text, start) if start < at else None
         if m:
             yield m

@@ -3,6 +3,7 @@
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import public_tokenizers
@@ -91,6 +92,33 @@ def test_base_patterns_of_personal_data():
         assert pii.base_spans(text) == expected
 
 
+def test_odd_texts_take_time_in_proportion():
+    texts = ["1" * 1_000_000, "1." * 500_000, "a" * 1_000_000 + " " + "b" * 5000 + "@x.org", "a" * 1_000_000 + "@x.org", "a.b@" * 250_000,
+             "x @" * 300_000, "+1" + "(" * 1_000_000, "+1" * 500_000, "4111-" * 200_000, "eyJ" * 333_000 + ".eyJ", "eyJ" * 333_000,
+             ("eyJ" * 3000 + ".") * 100, "eyJabcdefgh.eyJ" * 60_000, "AKIA" * 250_000, "token" * 200_000, "0a" * 500_000, "gho_" * 250_000]
+    queries = [secret_scan.trigram_query(p) for _, p, _ in secret_scan.RULES]
+    for text in texts:
+        start = time.process_time()
+        pii.base_spans(text)
+        secret_scan.scan_segment([text], secret_scan.RULES, queries)
+        assert time.process_time() - start < 4, text[:20]
+    found = pii.base_spans("a" * 100_000 + " " + "b" * 5000 + "@x.org")
+    assert found == [("email", 100_001, 105_007)]
+
+
+def test_web_tokens_are_the_matches_of_the_rule():
+    rng = random.Random(8)
+    parts = ["eyJ", "abcdefgh", ".", ".eyJ", "eyJabcdefgh", ".eyJabcdefgh", ".abcdefgh", " ", "-", "é", "x"]
+    pattern = next(p for k, p, _ in secret_scan.RULES if k == "jwt")
+    hits = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        expected = [m.span() for m in re.finditer(pattern, text)]
+        hits += len(expected)
+        assert [m.span() for m in secret_scan.web_tokens(text)] == expected
+    assert hits > 100
+
+
 def test_addresses_with_thousands_of_zeros():
     for text, found in (("0" * 5000 + ".0.0.1", True), ("1.2.3." + "0" * 5000 + "255", True), ("1.2.3." + "0" * 5000 + "256", False), ("1" * 5000 + ".0.0.1", False)):
         assert [x for x in pii.base_spans(text) if x[0] == "ip"] == [("ip", 0, len(text))] * found
