@@ -34,20 +34,27 @@ BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 TEXT_LEAF, ID_LEAF = 1 << 15, 1 << 16
 #: A window of up to so many bytes is merged in a list, a longer one with a heap; the rank of a pair that is no entry.
 SHORT, NEVER = 40, 1 << 62
-#: Entries that each memo of a worker may hold, and the longest keys in it.
-MEMO, MEMO_KEY = 80_000, 48
+MARKS = frozenset(".,;:!?")
+#: Entries that each memo of a worker may hold: of words, and of parts of words and pairs of tokens; the longest keys.
+MEMO, MEMO_PARTS, MEMO_KEY = 250_000, 250_000, 48
 
 
 class _Memo(dict):
-    def __init__(self, compute, longest: int = MEMO_KEY):
-        self.compute, self.longest = compute, longest
+    """Results of `compute` for short keys, in two generations: when the young one is full, the old one goes, so words in use stay."""
+
+    def __init__(self, compute, longest: int = MEMO_KEY, most: int = None):
+        self.compute, self.longest, self.most, self.old = compute, longest, most or MEMO, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
-        if len(key) <= self.longest:
-            if len(self) >= MEMO:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.most // 2:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
@@ -89,14 +96,18 @@ class _Pairs(dict):
     """Encoding of two tokens' bytes, by a << 32 | b; empty if they encode to themselves."""
 
     def __init__(self, bpe):
-        self.bpe = bpe
+        self.bpe, self.old = bpe, {}
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
+        ids = self.old.get(key)
+        if ids is None:
+            a, b = key >> 32, key & 0xFFFFFFFF
+            ids = tuple(self.bpe.merge(self.bpe.bytes_of[a] + self.bpe.bytes_of[b]))
+            ids = () if ids == (a, b) else ids
+        if len(self) >= MEMO_PARTS // 2:
+            self.old = dict(self)
             self.clear()
-        a, b = key >> 32, key & 0xFFFFFFFF
-        ids = tuple(self.bpe.merge(self.bpe.bytes_of[a] + self.bpe.bytes_of[b]))
-        self[key] = ids = () if ids == (a, b) else ids
+        self[key] = ids
         return ids
 
 
@@ -107,7 +118,7 @@ class Bpe(Texts):
         super().__init__()
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.part = _Memo(self.piece, 6)
+        self.part = _Memo(self.piece, 6, MEMO_PARTS)
         self.pairs = _Pairs(self)
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{BLANK}").replace(r"\S", f"[^{BLANK}]").replace(r"\s", f"[{BLANK}]"))
 
@@ -178,10 +189,19 @@ class Bpe(Texts):
 
     # texts -----------------------------------------------------------------------------------
 
+    def known(self, chunk: str) -> bytes:
+        """Packed ids of a chunk, by the memo it belongs to."""
+        return self.spaced[chunk[1:]] if chunk[0] == " " else self.plain[chunk]
+
     def _chunk(self, chunk: str) -> bytes:
         word = chunk[1:] if chunk[:1] == " " else chunk
         if word.isalpha():
             ids = self.part[chunk.encode()]
+        elif word[-1:] in MARKS and word[:-1].isalpha():  # letters and one mark are two matches
+            return self.known(chunk[:-1]) + self.plain[word[-1]]
+        elif word.count("\n") == 1 and (place := word.find("\n")) > 0 and word[place + 1:place + 2].isalpha() and not word[place - 1].isspace():
+            place += len(chunk) - len(word)  # a line break between a non-blank and a letter is a match (one only: no deep recursion)
+            return self.known(chunk[:place]) + self.plain["\n"] + self.plain[chunk[place + 1:]]
         else:
             ids = [i for piece in self.pieces.findall(chunk) for i in self.part[piece.encode()]]
         return struct.pack(f"<{len(ids)}I", *ids)

@@ -37,6 +37,8 @@ SCRIPTS = [
 ]
 #: Words and characters that a worker's memo may hold.
 MEMO_WORDS, MEMO_CHARS = 150_000, 3_000_000
+#: Letters of new words that are scored at a time.
+SLICE = 100_000
 
 _table = None
 
@@ -107,6 +109,13 @@ class Model:
         out[letters == 0] = 0
         return out, letters
 
+    def slices(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """`word_scores` of any number of words, some thousand letters at a time: a letter takes some 50 bytes meanwhile."""
+        cuts = np.cumsum([len(w) for w in words]) // SLICE
+        starts = np.flatnonzero(np.append(True, cuts[1:] != cuts[:-1])).tolist()
+        found = [self.word_scores(words[a:b]) for a, b in zip(starts, [*starts[1:], len(words)])]
+        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
     def label(self, texts: list[str]):
         """Per text (language, score, spans of (language, first word, end))."""
         if not self.languages:
@@ -121,7 +130,7 @@ class Model:
         if len(numbers) > known:
             new = list(numbers)[known:]
             self.chars += sum(map(len, new))
-            scores, letters = self.word_scores(new)
+            scores, letters = self.slices(new)
             self.rows = np.concatenate([self.rows, scores]) if known else scores
             self.letters = np.concatenate([self.letters, letters]) if known else letters
         return [self.path(self.rows[i], self.letters[i]) if len(i) else ("und", 0.0, []) for i in found]
