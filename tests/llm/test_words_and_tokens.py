@@ -249,3 +249,24 @@ def test_bitmaps_hold_what_was_put_in():
         assert token_alignment.document_counts(part).tolist() == [len({k for p, k in want if p == q}) for q in pairs[i:i + 7].tolist()]
     assert got == want
     assert any(len(x.as_py()) == token_alignment.CHUNK // 8 for x in planes.values) and any(len(x.as_py()) < 200 for x in planes.values)
+
+
+# byte BPE: the registered query -------------------------------------------------------------------
+
+
+def test_byte_bpe_query(spark, odd, none):
+    import tiktoken
+
+    from riskloom.llm import bpe
+
+    ranks = bpe.parse_ranks(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for doc_id, text in DOCUMENTS:
+        ids = library.encode_ordinary(text or "")
+        want.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    found = queries.QUERIES["op1_byte_bpe"](spark, SF)
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and ordered(found.collect()) == ordered(want)
+    codec = bpe.default_codec(spark)
+    assert all(bytes(r["decoded"]) == (r["n"] or "").encode() for r in bpe.round_trip(odd.withColumn("n", odd["text"]), codec).collect())
+    assert bpe.round_trip(none, codec).count() == 0
