@@ -11,7 +11,7 @@ from ..operators import cleaning, metrics, sampling, scaling, tfidf
 from ..operators.domains import SPLIT_COLUMNS, with_domain_features, with_domain_split
 from ..sources.sinks import write_table
 from ..sources.staging import new_path, stage_table
-from ..sources.tables import null_tokens, preview, profile, read_urls
+from ..sources.tables import null_tokens, preview, profile, read_csv, read_urls
 from ..streaming.scoring import read_url_stream, write_stream
 from .inputs import (
     DEEP_RULES, decorated_urls, labelled_pages, raw_urls, rule_predictions, rules, special_urls, SPECIAL_RULES, table,
@@ -64,6 +64,13 @@ def csv_source(spark, sf):
     return cleaning.clean_urls(source.withColumn("row_id", F.col("row_id").cast("bigint"))).select("row_id", "url", "type")
 
 
+def csv_line_breaks(spark, sf):
+    """Pages with their HTML (line breaks, quotes, commas) written as CSV and read back by the split reader."""
+    path = write_table(table(spark, sf, "pages").select("page_id", "url", "html"), new_path(spark, "pages"), "csv")
+    df = read_csv(spark, path)
+    return df.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("html_md5"))
+
+
 def url_parts(spark, sf):
     df = with_url_parts(decorated_urls(spark, sf))
     return df.select("row_id", "scheme", "host", "path", "query", "fragment", "has_port", "has_ip")
@@ -336,7 +343,7 @@ def stream_domain_features(spark, sf):
 QUERIES = {f.__name__: f for f in (
     lexical_features, lexical_features_decorated, lexical_by_host, url_parts, feature_selection,
     na_tokens, normalize_urls, clean_urls, duplicates_removed, class_distribution, class_percentages,
-    distinct_labels, dataset_profile, preview_head, csv_source,
+    distinct_labels, dataset_profile, preview_head, csv_source, csv_line_breaks,
     domain_split, domain_split_deep_rules, domain_features, domain_features_decorated, domain_features_special, high_entropy_domains,
     combined_features, text_entropy,
     char_ngrams, document_ngrams, vocabulary, vocabulary_capped, document_vocabulary, char_tfidf, document_tfidf,

@@ -16,7 +16,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
     """Write a result table (metrics, features, scores) as CSV with header, Parquet, ORC or JSON."""
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        # quotes are doubled and blanks kept, as the CSV source expects
+        writer = writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.save(path)

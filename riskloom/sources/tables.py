@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.constants import NA_TOKENS
+from .csv_blocks import PLACE, read_split_csv, spans_lines
 
 FORMATS = ("parquet", "orc", "json", "csv")
 
@@ -19,15 +20,15 @@ def read_csv(spark: SparkSession, path, multi_line=None, **options) -> DataFrame
     """Headered CSV file, folder or glob; every column is read as a string.
 
     Columns are matched by header name. A missing path raises AnalysisException.
-    `multi_line=None` looks for lines with an odd number of quotes: only if there are
-    some can a record span lines, and only then files are read unsplit. With none,
-    splitting at line ends is exact and one large file is read by many tasks.
+    `multi_line=None` looks for lines with an odd number of quotes: only if there are some can a record span lines. With none, files are split at
+    line ends; with some, they are split by `csv_blocks`, which follows quotes across lines and blocks. `multi_line=True`, or other options
+    together with such lines, read each file unsplit.
     """
-    if multi_line is None:
-        lines = spark.read.text(path)
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        multi_line = not lines.filter(quotes % 2 == 1).isEmpty()
-    return spark.read.options(**csv_options(multi_line)).options(**options).csv(path)
+    if multi_line is None and spans_lines(spark, path):
+        if not options:
+            return read_split_csv(spark, path).drop(PLACE)
+        multi_line = True
+    return spark.read.options(**csv_options(bool(multi_line))).options(**options).csv(path)
 
 
 def csv_options(multi_line: bool) -> dict:
@@ -43,10 +44,16 @@ def read_urls(spark: SparkSession, path, fmt: str = "csv", **options) -> DataFra
     """
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
-    df = read_csv(spark, path, **options) if fmt == "csv" else spark.read.options(**options).format(fmt).load(path)
+    if fmt == "csv" and not options:
+        split = spans_lines(spark, path)
+        df = read_split_csv(spark, path) if split else read_csv(spark, path, multi_line=False)
+    else:
+        df = read_csv(spark, path, **options) if fmt == "csv" else spark.read.options(**options).format(fmt).load(path)
     require_columns(df, ["url", "type"])
     if "row_id" in df.columns:
         return df.select("row_id", "url", "type")
+    if PLACE in df.columns:
+        return df.select(F.col(PLACE).alias("row_id"), "url", "type")
     order = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
