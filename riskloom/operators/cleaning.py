@@ -12,15 +12,16 @@ def drop_missing(df: DataFrame, columns=("url", "type")) -> DataFrame:
     return df.na.drop(subset=list(columns))
 
 
-def normalize_rows(df: DataFrame, na_tokens=NA_TOKENS, case_insensitive_scheme: bool = False) -> DataFrame:
-    """Project to (row_id, url, type), drop missing values, normalise both, drop empty URLs."""
-    require_columns(df, ["row_id", "url", "type"])
-    df = df.select("row_id", F.col("url").cast("string"), F.col("type").cast("string"))
+def normalize_rows(df: DataFrame, na_tokens=NA_TOKENS, case_insensitive_scheme: bool = False, keep=()) -> DataFrame:
+    """Project to (row_id, url, type) and the columns in `keep`, drop missing values, normalise both, drop empty URLs."""
+    require_columns(df, ["row_id", "url", "type", *keep])
+    df = df.select("row_id", F.col("url").cast("string"), F.col("type").cast("string"), *keep)
     df = drop_missing(null_tokens(df, tokens=na_tokens))
     df = df.select(
         "row_id",
         normalize_url(F.col("url"), case_insensitive_scheme).alias("url"),
         strip(F.lower("type")).alias("type"),
+        *keep,
     )
     return df.filter(F.length("url") > 0)
 

@@ -107,3 +107,30 @@ def padded_pages(spark, sf_dir) -> DataFrame:
         (F.conv(F.substring(hashed, 5, 4), 16, 10).cast("long") % 32 == 0).alias("flipped"))
     long = F.col("flipped") != (F.length("url") > 85)
     return pages.select(F.col("page_id").alias("row_id"), "url", F.when(long, "long").otherwise("short").alias("type"))
+
+
+#: Arrivals of the raw URLs as a stream, in this order.
+URL_ARRIVALS = 4
+#: Arrivals of predictions; each one's labels come with the next.
+LABEL_ARRIVALS = 4
+
+
+def arriving_urls(spark, sf_dir) -> DataFrame:
+    """(arrival, row_id, url, type, seen_at): first the raw rows without scheme, then the plain ones, then the others, then everything again
+    under another label. An arrival comes a day after the one before."""
+    raw = raw_urls(spark, sf_dir)
+    variant = F.col("row_id") % 5
+    arrival = F.when(variant == 1, 0).when(variant == 0, 1).otherwise(2)
+    rows = raw.select(arrival.alias("arrival"), "row_id", "url", "type")
+    again = raw.select(F.lit(3).alias("arrival"), "row_id", "url", F.lit("late").alias("type"))
+    seen_at = F.timestamp_seconds(F.lit(1704067200) + F.col("arrival") * 86400 + F.col("row_id") % 3600)
+    return rows.unionByName(again).withColumn("seen_at", seen_at)
+
+
+def arriving_predictions(spark, sf_dir) -> DataFrame:
+    """(arrival, row_id, actual, predicted, predicted_at, labelled_at): guesses of the fixed rule in hourly arrivals; labels come 0 to 89 minutes after them."""
+    arrival = F.col("row_id") % (LABEL_ARRIVALS - 1)
+    at = F.lit(1704067200) + arrival * 3600 + F.col("row_id") % 3600
+    return rule_predictions(spark, sf_dir).select(
+        arrival.alias("arrival"), "row_id", "actual", "predicted", F.timestamp_seconds(at).alias("predicted_at"),
+        F.timestamp_seconds(at + F.col("row_id") % 90 * 60).alias("labelled_at"))

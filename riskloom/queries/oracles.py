@@ -274,6 +274,14 @@ rows_ AS (
 )"""
 
 
+#: Guesses whose label is given within an hour.
+LABELLED_GUESSES = GUESSES.replace("FROM labelled", "FROM labelled WHERE row_id % 90 <= 60")
+
+#: The raw rows in their order of arrival.
+ARRIVING = CLEAN + """,
+arriving AS (SELECT *, CASE row_id % 5 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS arrival FROM nonempty)"""
+
+
 def report_ctes(rows="rows_", prefix=""):
     """CTE `classes`: precision, recall, f1 and support per label, by definition from the rows."""
     p = prefix
@@ -413,6 +421,14 @@ ORACLES = {
     "best_hybrid_experiment": f"WITH {experiments_ctes()} SELECT {ROUNDED} FROM results WHERE experiment <> 'tfidf_only' "
     "ORDER BY results.macro_f1 DESC, position LIMIT 1",
     "metrics_csv_sink": f"WITH {experiments_ctes()} SELECT {ROUNDED} FROM results",
+    "stream_first_labels": f"WITH {ARRIVING} SELECT row_id, url, type FROM arriving "
+    "QUALIFY row_number() OVER (PARTITION BY url ORDER BY arrival, row_id) = 1",
+    # two-day periods count from 1970-01-01: the first arrival falls into one, the second and third into the next, the repeats into one more
+    "stream_first_labels_by_period": f"WITH {ARRIVING}, again AS (SELECT row_id, arrival, url, type FROM arriving UNION ALL SELECT row_id, 3, "
+    "CASE WHEN starts_with(trim(url, ' ' || chr(9)), 'http') THEN url ELSE 'http://' || trim(url, ' ' || chr(9)) END, 'late' FROM raw "
+    "WHERE url <> 'N/A' AND trim(url) <> '') SELECT row_id, url, type FROM again "
+    "QUALIFY row_number() OVER (PARTITION BY url, (19723 + arrival) // 2 ORDER BY arrival, row_id) = 1",
+    "stream_late_labels": full_report(LABELLED_GUESSES),
     "stream_features": f"{LEXICAL} SELECT page_id, {lexical_list()} FROM hosts",
     "stream_domain_features": domain_query(PAGE_URLS, "urls", DEEP_RULES, f"page_id, {domain_list()}"),
     # The class is written in the URL: whatever the solver, a right text model predicts it for every row.

@@ -12,9 +12,12 @@ from ..operators.domains import SPLIT_COLUMNS, with_domain_features, with_domain
 from ..sources.sinks import write_table
 from ..sources.staging import new_path, stage_table
 from ..sources.tables import null_tokens, preview, profile, read_csv, read_urls
+from ..streaming.cleaning import first_labels, write_first_labels
+from ..streaming.evaluation import match_labels, pairs_so_far, write_pair_counts
 from ..streaming.scoring import read_url_stream, write_stream
 from .inputs import (
-    DEEP_RULES, decorated_urls, labelled_pages, raw_urls, rule_predictions, rules, special_urls, SPECIAL_RULES, table,
+    arriving_predictions, arriving_urls, DEEP_RULES, decorated_urls, LABEL_ARRIVALS, labelled_pages, raw_urls, rule_predictions, rules, special_urls,
+    SPECIAL_RULES, table, URL_ARRIVALS,
 )
 
 
@@ -340,6 +343,43 @@ def stream_domain_features(spark, sf):
     return spark.read.parquet(out)
 
 
+def _stream_first_labels(spark, sf, **options):
+    """The arrivals of raw URLs through `first_labels`, the stream being started anew from its checkpoint for each."""
+    arrivals, source = arriving_urls(spark, sf), new_path(spark, "arrivals")
+    out, checkpoint = new_path(spark, "stream"), new_path(spark, "stream-checkpoint")
+    for number in range(URL_ARRIVALS):
+        rows = arrivals.filter(F.col("arrival") == number).drop("arrival")
+        rows.write.mode("append").parquet(source)
+        labels = first_labels(read_url_stream(spark, source, rows.schema), **options)
+        write_first_labels(labels, out, checkpoint, available_now=True).awaitTermination()
+    return spark.read.parquet(out).select("row_id", "url", "type")
+
+
+def stream_first_labels(spark, sf):
+    """Raw URLs cleaned as a stream in four arrivals: the first label of a URL wins."""
+    return _stream_first_labels(spark, sf)
+
+
+def stream_first_labels_by_period(spark, sf):
+    """The same, but a URL is let through once in two days of event time."""
+    return _stream_first_labels(spark, sf, event_time="seen_at", period="2 days", delay="1 hour")
+
+
+def stream_late_labels(spark, sf):
+    """Classification report of a stream of predictions whose labels come as another stream, for labels given within an hour."""
+    rows, sources = arriving_predictions(spark, sf), [new_path(spark, "predictions"), new_path(spark, "labels")]
+    out, checkpoint = new_path(spark, "stream"), new_path(spark, "stream-checkpoint")
+    for number in range(LABEL_ARRIVALS):
+        parts = [rows.filter(F.col("arrival") == number).select("row_id", "predicted", "predicted_at"),
+                 rows.filter(F.col("arrival") == number - 1).select("row_id", "actual", "labelled_at")]
+        for part, source in zip(parts, sources):
+            part.write.mode("append").parquet(source)
+        streams = [read_url_stream(spark, source, part.schema) for part, source in zip(parts, sources)]
+        matched = match_labels(*streams, wait="1 hour", delay="3 hours")
+        write_pair_counts(matched, out, checkpoint, available_now=True).awaitTermination()
+    return metrics.classification_report(pairs_so_far(spark, out))
+
+
 QUERIES = {f.__name__: f for f in (
     lexical_features, lexical_features_decorated, lexical_by_host, url_parts, feature_selection,
     na_tokens, normalize_urls, clean_urls, duplicates_removed, class_distribution, class_percentages,
@@ -351,5 +391,5 @@ QUERIES = {f.__name__: f for f in (
     uniform_sample, stratified_sample, stratified_split, standardized_features, class_weights, weighted_rows,
     confusion_matrix, confusion_table, classification_report, summary_metrics, document_label_metrics,
     experiment_summary, best_experiment, best_hybrid_experiment, metrics_csv_sink,
-    stream_features, stream_domain_features,
+    stream_features, stream_domain_features, stream_first_labels, stream_first_labels_by_period, stream_late_labels,
 )}
