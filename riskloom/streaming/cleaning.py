@@ -16,7 +16,7 @@ def first_labels(stream: DataFrame, event_time: str = None, period: str = None,
     The state is one narrow row per URL, kept by a streaming aggregate: copies within a batch are combined before the shuffle, so a URL with very many
     copies costs one row per task. Without `period` a URL is let through once for ever and the state grows with the distinct URLs. With `period`
     (and `event_time`, a timestamp column) it is let through once per period of event time, and a period's state goes when the watermark, `delay`
-    behind the latest time seen, has passed its end; rows that come after that are late and left out, as are rows without a time.
+    behind the latest time seen, has passed its end; rows that come after that are late and left out, as are rows without a time or with one before 1970.
 
     Rows with a null URL or label, and URLs that are blank, are left out as in a batch.
     """

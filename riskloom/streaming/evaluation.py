@@ -11,7 +11,7 @@ def match_labels(predictions: DataFrame, labels: DataFrame, key: str = "row_id",
     """(actual, predicted) of each prediction and each label of its key given at most `wait` after it, in whichever order they arrive.
 
     `predictions` has the columns key, `predicted` and a time, `labels` key, `actual` and a time. Rows are kept in state until a match is no longer possible:
-    the watermark, `delay` behind the slower stream's latest time, bounds the state. Rows later than that are left out, as are rows without key or time.
+    the watermark, `delay` behind the slower stream's latest time, bounds the state. Rows later than that are left out, as are rows without key or time, or with a time before 1970.
     A key with several predictions or labels gives every pair of them: remove copies before.
     """
     left = predictions.select(F.col(key).alias("__key"), "predicted", F.col(predicted_at).alias("__predicted_at")).withWatermark("__predicted_at", delay)
