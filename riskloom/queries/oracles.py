@@ -368,7 +368,8 @@ ORACLES = {
     "dataset_profile": f"WITH {RAW} SELECT 'rows' AS metric, 'all' AS item, count(*) AS n FROM raw UNION ALL SELECT 'columns', 'all', 3 "
     "UNION ALL SELECT 'label', type, count(*) FROM raw GROUP BY type",
     "preview_head": f"WITH {CLEAN} SELECT * FROM clean ORDER BY row_id LIMIT 5",
-    "csv_line_breaks": "SELECT page_id, url, length(html) AS n_chars, md5(html) AS html_md5 FROM pages",
+    "csv_line_breaks": "SELECT page_id, url, length(html) AS n_chars, md5(html) AS html_md5 "
+    "FROM (SELECT page_id, url, replace(html, '>', '>' || chr(10)) AS html FROM pages)",
     "csv_source": f"WITH {CLEAN} SELECT * FROM clean",
     "domain_split": domain_query(PAGE_URLS, "urls", RULES, SPLIT_LIST),
     "domain_split_deep_rules": domain_query(PAGE_URLS, "urls", DEEP_RULES, SPLIT_LIST),

@@ -68,8 +68,9 @@ def csv_source(spark, sf):
 
 
 def csv_line_breaks(spark, sf):
-    """Pages with their HTML (line breaks, quotes, commas) written as CSV and read back by the split reader."""
-    path = write_table(table(spark, sf, "pages").select("page_id", "url", "html"), new_path(spark, "pages"), "csv")
+    """Pages with their HTML, one line per tag, written as CSV and read back by the split reader."""
+    html = F.replace("html", F.lit(">"), F.lit(">\n"))
+    path = write_table(table(spark, sf, "pages").select("page_id", "url", html.alias("html")), new_path(spark, "pages"), "csv")
     df = read_csv(spark, path)
     return df.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("html_md5"))
 
