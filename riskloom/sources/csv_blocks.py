@@ -16,6 +16,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .staging import stage_table
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
 # One field of a line, and a quoted value that the line leaves open. Possessive: linear time, no deep stack.
@@ -43,7 +45,8 @@ def read_split_csv(spark: SparkSession, path, columns=None) -> DataFrame:
         columns = spark.read.options(header=True, escape='"', multiLine=True).csv(path).columns
     schema = StructType([StructField(name, StringType()) for name in columns])
     lines = _coded_lines(spark, path)
-    records = _records(lines, block_states(lines))
+    # staged: one narrow row per block, of known size, so the lines are shuffled to it only if it is too large to broadcast
+    records = _records(lines, stage_table(block_states(lines), "csv-blocks"))
     parsed = records.select(PLACE, "is_header", F.from_csv("record", schema.simpleString(), {"escape": '"', "multiLine": "true"}).alias("c"))
     wrong = F.lit(False)
     for name in columns:
