@@ -78,6 +78,7 @@ class FitResult:
     predictions: DataFrame
     training_time: float
     importance: DataFrame = None
+    pairs: DataFrame = None
 
 
 def _labels(df: DataFrame, label: str) -> list:
@@ -234,12 +235,14 @@ def _weights(vocabulary: NumberedVocabulary, models: list, path: str) -> tuple[s
 
 def run_ablation(df: DataFrame, experiments, label: str = "type", url: str = "url", key: str = None,
                  rules: DataFrame = None, rules_path: str = None, max_features=MAX_FEATURES, n_min: int = NGRAM_MIN,
-                 n_max: int = NGRAM_MAX, max_iter: int = LOGISTIC_MAX_ITER, save_to: str = None, normalize: bool = True) -> dict:
+                 n_max: int = NGRAM_MAX, max_iter: int = LOGISTIC_MAX_ITER, save_to: str = None, normalize: bool = True,
+                 on_result=None) -> dict:
     """Fit one classifier per experiment on one split and one TF-IDF fit.
 
     Text statistics see training rows only. Vectors and features of all experiments are
     computed once, written to the shared folder, and each experiment reads the columns
-    it needs. `key` is a unique column, the URL itself if not given. Returns {name: FitResult}.
+    it needs. `key` is a unique column, the URL itself if not given. `on_result(experiment, result)` is called when
+    an experiment is evaluated and saved. Returns {name: FitResult}.
     """
     key = key or url
     experiments = list(experiments)
@@ -308,10 +311,12 @@ def run_ablation(df: DataFrame, experiments, label: str = "type", url: str = "ur
         scored = PipelineModel(tail).transform(vectors.filter("split = 'test'"))
         pairs = stage_table(pair_counts(scored, label, "prediction"), "pairs")
         results[experiment.name] = FitResult(
-            model, summary_metrics(pairs), classification_report(pairs), confusion_matrix(pairs), scored, elapsed
+            model, summary_metrics(pairs), classification_report(pairs), confusion_matrix(pairs), scored, elapsed, pairs=pairs
         )
         if save_to:
             save_model(model, save_to, experiment.name)
+        if on_result:
+            on_result(experiment, results[experiment.name])
     return results
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import stratified_sample
 from ..plans.scoring import ranked_probabilities, score
+from ..plans.ledger import resume_ablation
 from ..plans.proofs import forest_nodes, forest_path, forest_probabilities, importances, optimality
 from ..plans.training import (
     DOMAIN_EXPERIMENTS, LEXICAL_EXPERIMENTS, _with_split, ablation_table, evaluate, fit_hybrid, fit_lexical, fit_text,
@@ -17,7 +18,7 @@ from ..plans.training import (
 from ..functions.constants import LEXICAL_FEATURES
 from ..functions.lexical import with_lexical_features
 from ..operators.metrics import summary_metrics
-from ..sources.sinks import load_model, save_model
+from ..sources.sinks import current_version, load_model, save_model
 from ..sources.staging import new_path, stage_table
 from ..streaming.scoring import read_url_stream, score_stream, write_stream
 from .inputs import GIVEN_FOREST, labelled_pages, padded_pages, rules, table
@@ -142,6 +143,25 @@ def ablation_checked(spark, sf):
     return rows.withColumnRenamed("actual", "type")
 
 
+def ablation_resumed_checked(spark, sf):
+    """An ablation run for its first experiment, then resumed with two: test rows by experiment and class, how many were predicted right, and
+    whether the model entered first is still the current one."""
+    root, run = new_path(spark, "models"), dict(key="row_id", rules=rules(spark))
+    chosen = [DOMAIN_EXPERIMENTS[0], DOMAIN_EXPERIMENTS[2]]
+    resume_ablation(labelled_pages(spark, sf), chosen[:1], root, **run)
+    entered = {chosen[0].name: current_version(spark, root, chosen[0].name)}
+    ledger = resume_ablation(labelled_pages(spark, sf), chosen, root, **run)
+    rows = None
+    for e in chosen:
+        right = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+        row = ledger.pairs(e).groupBy(F.col("actual").alias("type"), F.lit(e.name).alias("experiment")).agg(
+            F.sum("n").alias("n_test"), F.sum(right).alias("n_right"), F.max("version").alias("version"))
+        first = entered.get(e.name, current_version(spark, root, e.name))
+        row = row.select("type", "experiment", "n_test", "n_right", (F.col("version") == first).alias("kept"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 def forest_checked(spark, sf):
     """Every page: ranked classes, their probabilities' sum, and whether the prediction is ranked first."""
     ranked = ranked_probabilities(forest_scores(spark, sf), keep=("row_id", "type", "prediction"))
@@ -211,6 +231,6 @@ def learned_checked(spark, sf):
 QUERIES = {f.__name__: f for f in (
     forest_metrics, forest_importance, forest_scores, forest_reevaluation, text_metrics, text_binary_metrics,
     text_scores, hybrid_scores, hybrid_ranked_probabilities, ablation_lexical, ablation_domain, stream_scores,
-    text_predictions_checked, stream_predictions_checked, ablation_checked, forest_checked, certificate_checked,
+    text_predictions_checked, stream_predictions_checked, ablation_checked, ablation_resumed_checked, forest_checked, certificate_checked,
     forest_importance_checked, forest_walk_checked, forest_given_checked, learned_checked,
 )}

@@ -438,6 +438,8 @@ ORACLES = {
     "ablation_checked": f"WITH {PAGE_SPLIT} SELECT type, count(*) AS n_test, count(*) AS n_right, experiment "
     "FROM test, (SELECT unnest(['v4_tfidf_only', 'v4_tfidf_v3', 'v4_tfidf_domain', 'v4_tfidf_v3_domain']) AS experiment) "
     "GROUP BY type, experiment",
+    "ablation_resumed_checked": f"WITH {PAGE_SPLIT} SELECT type, experiment, count(*) AS n_test, count(*) AS n_right, true AS kept "
+    "FROM test, (SELECT unnest(['v4_tfidf_only', 'v4_tfidf_domain']) AS experiment) GROUP BY type, experiment",
     "forest_checked": f"WITH {PAGES}, k AS (SELECT count(DISTINCT type) AS n FROM labelled) "
     "SELECT row_id, type, n AS n_classes, n::INT AS last_rank, 1.0::DOUBLE AS total, true AS agrees FROM labelled, k",
     "certificate_checked": f"WITH {PAGES} SELECT DISTINCT type AS class, true AS optimal FROM labelled",

@@ -38,6 +38,12 @@ def _folder(spark: SparkSession, path: str):
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether Spark has finished writing a table at `path`."""
+    fs, marker = _folder(spark, f"{path}/_SUCCESS")
+    return fs.exists(marker)
+
+
 def _pointers(spark: SparkSession, root: str, variant: str) -> dict:
     """{number: (target, age in seconds)}; the target of a pointer that is still being written is None."""
     fs, folder = _folder(spark, f"{variant_path(root, variant)}/_versions")
