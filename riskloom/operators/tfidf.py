@@ -3,10 +3,13 @@
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.constants import MAX_DF, MIN_DF, NGRAM_MAX, NGRAM_MIN
 from ..functions.text import collapse_whitespace
 from ..sources.staging import checkpoint, stage_table
+from . import grams
 from .joins import lookup_join
 from .sampling import RANK_ROWS, cutoff_keys
 
@@ -44,28 +47,48 @@ def pieces(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
     return texts.select("id", F.explode_outer(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("part"))
 
 
-def char_terms(df: DataFrame, id_col: str, text_col: str, n_min: int = NGRAM_MIN, n_max: int = NGRAM_MAX,
-               chunk: int = CHUNK, tasks: int = None) -> DataFrame:
-    """(id, gram, tf) for the whole texts; `id_col` is unique.
+def sorted_texts(df: DataFrame, id_col: str, text_col: str, tasks: int) -> DataFrame:
+    """(id, text): analysed texts partitioned by id and sorted by it, so that a task has all rows of an id beside each other."""
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(tasks, "id")
+    return texts.select("id", analyzed(F.col("text")).alias("text")).sortWithinPartitions("id")
+
+
+def gram_entries(df: DataFrame, id_col: str, text_col: str, n_min: int = NGRAM_MIN, n_max: int = NGRAM_MAX,
+                 chunk: int = grams.BATCH, tasks: int = None) -> DataFrame:
+    """(gram, entries): the terms (id, tf) of the whole texts, a row per gram and batch of some hundred texts; rows of one id are counted together.
 
-    Texts, not grams, are shuffled: after the partitioning by id, counting per (id, gram)
-    needs no exchange. (Counting each text inside its row, by sorted arrays, needs no shuffle
-    of texts but took a third longer in all.) Grams are some 150 times as large as their text, so the number of
+    Texts, not grams, are shuffled and counted where they are, many at once (see `grams`): exploding a row per occurrence and
+    aggregating, as before, took most of the time. What is looked up per gram is looked up once per batch. Grams are some 150 times
+    as large as their text, so the number of
     tasks follows the measured text; left to itself, adaptive execution would size them by
-    the small shuffle before the grams exist. A long text is cut into chunks that overlap by n_max - 1 characters,
-    so no array grows with the text; every gram start belongs to exactly one chunk.
+    the small shuffle before the grams exist. An id with more than `chunk` characters is cut into pieces that overlap by
+    n_max - 1 characters; every gram start belongs to exactly one piece.
     """
-    tasks = tasks or measure(df, text_col)[1]
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(tasks, "id")
-    texts = texts.select("id", analyzed(F.col("text")).alias("text"))
-    parts = pieces(texts, chunk, n_max - 1)
-    windows = F.regexp_extract_all("part", F.lit(f"(?s)(?=(.{{{n_min},{n_max}}}))."), F.lit(1))
-    parts = parts.select("id", F.explode_outer(F.slice(windows, 1, chunk)).alias("window"))
-    sizes = F.array(*[
-        F.when(F.length("window") >= n, F.substring("window", 1, n)) for n in range(n_min, n_max + 1)
-    ])
-    grams = parts.select("id", F.explode_outer(sizes).alias("gram")).filter(F.col("gram").isNotNull())
-    return grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
+    texts = sorted_texts(df, id_col, text_col, tasks or measure(df, text_col)[1])
+    id_type = texts.schema["id"].dataType
+    entry = StructType([StructField("id", id_type), StructField("tf", LongType())])
+    schema = StructType([StructField("gram", StringType()), StructField("entries", ArrayType(entry))])
+    return texts.mapInArrow(grams.per_gram(n_min, n_max, chunk, to_arrow_type(id_type)), schema)
+
+
+def char_terms(df: DataFrame, id_col: str, text_col: str, n_min: int = NGRAM_MIN, n_max: int = NGRAM_MAX,
+               chunk: int = grams.BATCH, tasks: int = None) -> DataFrame:
+    """(id, gram, tf) for the whole texts; rows of one id are counted together."""
+    return gram_entries(df, id_col, text_col, n_min, n_max, chunk, tasks).select("gram", F.inline("entries")).select("id", "gram", "tf")
+
+
+def known_terms(df: DataFrame, id_col: str, text_col: str, table: DataFrame, n_min: int, n_max: int, size: int = None, tasks: int = None) -> DataFrame:
+    """`char_terms` of the grams in `table` (gram, df, ...), with its columns."""
+    known = lookup_join(gram_entries(df, id_col, text_col, n_min, n_max, tasks=tasks), table, "gram", weight="df", size=size)
+    return known.select(*table.columns, F.inline("entries"))
+
+
+def gram_frequencies(df: DataFrame, id_col: str, text_col: str, n_min: int = NGRAM_MIN, n_max: int = NGRAM_MAX,
+                     chunk: int = grams.BATCH, tasks: int = None) -> DataFrame:
+    """`document_frequencies` of `char_terms`, without its rows: a task adds up the texts of a batch before the shuffle by gram."""
+    texts = sorted_texts(df, id_col, text_col, tasks or measure(df, text_col)[1])
+    counted = texts.mapInArrow(grams.per_batch(n_min, n_max, chunk), "gram string, df bigint, total bigint")
+    return counted.groupBy("gram").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
 def text_entropy(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK, tasks: int = None) -> DataFrame:
@@ -122,8 +145,7 @@ class TfidfModel:
 
     def transform(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, gram, tf, tfidf), rows scaled to length 1; grams outside the vocabulary vanish."""
-        terms = char_terms(df, id_col, text_col, self.n_min, self.n_max)
-        known = lookup_join(terms, self.vocabulary.select("gram", "df", "idf"), "gram", weight="df")
+        known = known_terms(df, id_col, text_col, self.vocabulary.select("gram", "df", "idf"), self.n_min, self.n_max)
         known = known.withColumn("weight", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
         return known.select("id", "gram", "tf", (F.col("weight") / norm).alias("tfidf"))
@@ -158,8 +180,7 @@ def term_arrays(df: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame
 
     `vocabulary` has (gram, df, idf, position). The arrays of a row are as long as its text has known grams.
     """
-    terms = char_terms(df, id_col, text_col, n_min, n_max)
-    known = lookup_join(terms, vocabulary.select("gram", "df", "idf", "position"), "gram", weight="df", size=size)
+    known = known_terms(df, id_col, text_col, vocabulary.select("gram", "df", "idf", "position"), n_min, n_max, size)
     weight = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
     entry = F.struct(F.col("position").cast("int").alias("i"), weight.alias("v"))
     rows = known.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("e"), F.sqrt(F.sum(weight * weight)).alias("norm"))
@@ -172,8 +193,7 @@ def term_scores(df: DataFrame, id_col: str, text_col: str, weights: DataFrame, c
 
     Neither vectors nor a dictionary are built: terms meet the weights in a join and are summed per text.
     """
-    terms = char_terms(df, id_col, text_col, n_min, n_max)
-    known = lookup_join(terms, weights.select("gram", "df", "idf", "weights"), "gram", weight="df", size=size)
+    known = known_terms(df, id_col, text_col, weights.select("gram", "df", "idf", "weights"), n_min, n_max, size)
     value = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
     sums = [F.sum(value * F.col("weights")[k]).alias(f"s{k}") for k in range(classes)]
     rows = known.groupBy("id").agg(F.sqrt(F.sum(value * value)).alias("norm"), *sums)
@@ -189,7 +209,7 @@ def fit_tfidf(df: DataFrame, id_col: str, text_col: str, max_features=None, min_
     later steps need, and they must all see the same one.
     """
     n_rows, tasks = measure(df, text_col)
-    frequent = document_frequencies(char_terms(df, id_col, text_col, n_min, n_max, tasks=tasks)).filter(
+    frequent = gram_frequencies(df, id_col, text_col, n_min, n_max, tasks=tasks).filter(
         (F.col("df") >= min_df) & (F.col("df") <= max_df * n_rows)
     )
     idf = F.log(F.lit(1.0 + n_rows) / (1 + F.col("df"))) + 1

@@ -3,7 +3,9 @@ import random
 import re
 from collections import Counter
 
-from riskloom.operators.tfidf import char_terms, document_frequencies, fit_tfidf, gram_array, most_frequent
+from riskloom.operators.tfidf import (
+    char_terms, document_frequencies, fit_tfidf, gram_array, gram_entries, gram_frequencies, most_frequent,
+)
 
 
 def brute_counts(text):
@@ -67,3 +69,39 @@ def test_cap_is_exact_also_when_slices_are_counted(spark):
         for rank_rows in (2, 1_000_000):
             got = {r["gram"] for r in most_frequent(vocabulary, limit, rank_rows).collect()}
             assert got == {g for g, _ in ranked[:limit]}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def odd_texts():
+    """Repeated and null ids, null and empty texts, NUL, many different characters, and one text longer than a batch."""
+    rng = random.Random(5)
+    many = "".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(6000))
+    return [(1, "abcabc"), (1, "bcd"), (None, "abcd"), (None, "xabc"), (2, None), (3, ""), (4, "ab\0\0abc\0"), (5, many), (6, "abcd" * 900), (7, "ab")]
+
+
+def test_counts_of_odd_texts_in_batches_of_any_size(spark):
+    rows = odd_texts()
+    df = spark.createDataFrame(rows, "id long, s string")
+    want = Counter()
+    for i, t in rows:
+        for g, n in brute_counts(t or "").items():
+            want[i, g] += n
+    docs = Counter(g for _, g in want)
+    totals = Counter()
+    for (_, g), n in want.items():
+        totals[g] += n
+    for chunk in (50, 3000, 1 << 20):
+        got = [(r["id"], r["gram"], r["tf"]) for r in char_terms(df, "id", "s", chunk=chunk).collect()]
+        assert len(got) == len(want) and {(i, g): n for i, g, n in got} == want, chunk
+        frequencies = gram_frequencies(df, "id", "s", chunk=chunk).collect()
+        assert {r["gram"]: (r["df"], r["total"]) for r in frequencies} == {g: (docs[g], totals[g]) for g in docs}, chunk
+
+
+def test_fitting_makes_a_row_per_gram_and_batch(spark):
+    df = spark.createDataFrame([(i, "abcabc") for i in range(500)], "id long, s string")
+    assert "Generate" not in plan(gram_frequencies(df, "id", "s"))  # no row per occurrence or per text
+    assert gram_entries(df, "id", "s", tasks=1).count() == 3 + 3 + 2
+    assert {len(r["entries"]) for r in gram_entries(df, "id", "s", tasks=1).collect()} == {500}
