@@ -145,10 +145,16 @@ class TfidfModel:
 
     def transform(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, gram, tf, tfidf), rows scaled to length 1; grams outside the vocabulary vanish."""
-        known = known_terms(df, id_col, text_col, self.vocabulary.select("gram", "df", "idf"), self.n_min, self.n_max)
-        known = known.withColumn("weight", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-        norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
-        return known.select("id", "gram", "tf", (F.col("weight") / norm).alias("tfidf"))
+        tasks = measure(df, text_col)[1]
+        texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        norms = self._weighted(texts, tasks).groupBy(F.col("id").alias("of")).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+        # The norm travels with the text, so that terms, which are far larger, need no shuffle by id.
+        texts = texts.join(norms, F.col("id").eqNullSafe(F.col("of"))).select(F.struct("id", "norm").alias("id"), "text")
+        return self._weighted(texts, tasks).select("id.id", "gram", "tf", (F.col("weight") / F.col("id.norm")).alias("tfidf"))
+
+    def _weighted(self, texts: DataFrame, tasks: int) -> DataFrame:
+        known = known_terms(texts, "id", "text", self.vocabulary.select("gram", "df", "idf"), self.n_min, self.n_max, tasks=tasks)
+        return known.withColumn("weight", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
 
     def shape(self, df: DataFrame) -> DataFrame:
         """(n_rows, n_features) of the matrix that `transform` describes."""

@@ -105,3 +105,14 @@ def test_fitting_makes_a_row_per_gram_and_batch(spark):
     assert "Generate" not in plan(gram_frequencies(df, "id", "s"))  # no row per occurrence or per text
     assert gram_entries(df, "id", "s", tasks=1).count() == 3 + 3 + 2
     assert {len(r["entries"]) for r in gram_entries(df, "id", "s", tasks=1).collect()} == {500}
+
+
+def test_weights_are_scaled_without_a_shuffle_of_terms(spark):
+    rows = [(1, "aabc"), (1, "abcx"), (None, "aabc"), (None, "xabc"), (3, "zabcx"), (4, None)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    found = fit_tfidf(df, "id", "s", max_df=1.0).transform(df, "id", "s")
+    assert "Window" not in plan(found)
+    squares = Counter()
+    for r in found.collect():
+        squares[r["id"]] += r["tfidf"] ** 2
+    assert squares.keys() == {1, None, 3} and all(abs(s - 1) < 1e-12 for s in squares.values())
