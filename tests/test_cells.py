@@ -19,6 +19,8 @@ def test_cells_hold_the_vectors(spark, monkeypatch, limit):
     monkeypatch.setattr(solver, "PIECE", 16)
     words = "aaaa abab " * 200, "red green blue", "green blue", "blue red", "", None, "red blue green red", "abab blue"
     ids = 1, 2, 3, 3, 4, 5, None, 7
+    words += tuple(None if n % 3 else f"green blue {n}" for n in range(24))
+    ids += tuple(range(20, 44))
     rows = [(i, t, 10 + n, n % 3 - 1, [float(n), None]) for n, (i, t) in enumerate(zip(ids, words))]
     df = spark.createDataFrame(rows, "id bigint, text string, row bigint, class int, numbers array<double>")
     vocabulary = training.NumberedVocabulary.of(fit_tfidf(df, "id", "text")).table
